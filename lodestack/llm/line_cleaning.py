@@ -20,7 +20,7 @@ MAX_LOST_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
 #: Rules of a line, by name: a line that matches one of them is removed.
-ENDS = ".!?:;…。！？\"'”’»)]"
+SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
 SHOUTING = r"([!?#*$%&]{2,}[^!?#*$%&]*){3}"
 NAVIGATION = r"(\|.*\|)|([»›•·>].*[»›•·>])|^(home|menu|login|log in|sign up|sign in|search|next|previous|back to top|read more|skip to content)\b"
 BOILERPLATE = r"\b(cookies?|javascript|terms of (use|service)|privacy policy|all rights reserved|licensed under|released under|copyright|subscribe to|click here|lorem ipsum)\b|©"
@@ -48,8 +48,7 @@ def repeated_words(words: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     low = F.lower(line)
-    no_end = F.instr(F.lit(ENDS), F.right(F.btrim(line, F.lit(WHITE)), F.lit(1))) == 0
-    return no_end | line.rlike(SHOUTING) | low.rlike(NAVIGATION) | low.rlike(BOILERPLATE)
+    return ~line.rlike(SENTENCE_END) | line.rlike(SHOUTING) | low.rlike(NAVIGATION) | low.rlike(BOILERPLATE)
 
 
 def _n_words(line: Column) -> Column:
