@@ -7,20 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import line_cleaning
+from lodestack.llm import line_cleaning, minhash, mixing, token_ids, winnowing
+from lodestack.llm.shared import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_cleaning.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "kept_words")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    return token_ids.read_dataset(*token_ids.write_dataset(docs, word_tokenizer()))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": op2_source_mixing,
     "op5_line_cleaning": op5_line_cleaning,
+    "op8_token_ids": op8_token_ids,
+    "op9_minhash_join": op9_minhash_join,
+    "op10_winnowing": op10_winnowing,
 }
 
 ORACLES: dict[str, str] = {}

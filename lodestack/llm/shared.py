@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[0]
 
 
+def ship(spark: SparkSession) -> None:
+    """Let local Python workers import this package from where the driver did. A cluster gets it by --py-files."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: later plans start from the files, so no lineage is recomputed
     and a lost executor costs nothing already written."""
