@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import lattice_lm, line_cleaning, minhash, mixing, token_ids, winnowing
+from lodestack.llm import bloom_cascade, lattice_lm, line_cleaning, minhash, mixing, sentence_spans, subword_classifier, token_ids, winnowing
 from lodestack.llm.shared import ship
 
 
@@ -26,11 +26,28 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subword_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_cleaning.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "kept_words")
 
 
+#: Host and path prefix, verdict.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op6_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_cascade.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose sentences, with the text that is left."""
+    return sentence_spans.changed_documents(table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -57,7 +74,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_source_mixing": op2_source_mixing,
+    "op4_subword_quality": op4_subword_quality,
     "op5_line_cleaning": op5_line_cleaning,
+    "op6_bloom_cascade": op6_bloom_cascade,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_token_ids": op8_token_ids,
     "op9_minhash_join": op9_minhash_join,
     "op10_winnowing": op10_winnowing,
