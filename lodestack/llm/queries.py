@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bloom_cascade, lattice_lm, line_cleaning, minhash, mixing, sentence_spans, subword_classifier, token_ids, winnowing
+from lodestack.llm import bloom_cascade, lattice_lm, line_cleaning, minhash, mixing, pii_votes, sentence_spans, subword_classifier, token_ids, winnowing
 from lodestack.llm.shared import ship
 
 
@@ -26,6 +26,15 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_votes.find(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, pii_votes.KINDS), F.sha2(pii_votes.written(F.col("base")), 256).alias("base_sha256"), pii_votes.written(F.col("spans")).alias("spans"))
+
+
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,6 +83,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_source_mixing": op2_source_mixing,
+    "op3_pii_votes": op3_pii_votes,
     "op4_subword_quality": op4_subword_quality,
     "op5_line_cleaning": op5_line_cleaning,
     "op6_bloom_cascade": op6_bloom_cascade,

@@ -37,6 +37,10 @@ def grams(words: Column, n: int) -> Column:
     return F.slice(F.transform(words, lambda x, i: F.xxhash64(x, *(F.get(words, i + j) for j in range(1, n)))), F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
 
+def _grams_of(text: Column, n: int) -> Column:
+    return let(item_words(text), lambda w: grams(w, n))
+
+
 def fingerprints(words: Column) -> Column:
     """array<struct<p, h, around>>: each k-gram that is the smallest of a window, with the hashes from p - 5 to p + 5."""
 
@@ -86,7 +90,7 @@ def shared_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     )
     for n in lengths:
         keys = short.filter(F.size("w") == n).select("item_id", F.get(grams(F.col("w"), n), F.lit(0)).alias("h"))
-        own = train.select("doc_id", F.posexplode(let(item_words(F.col("text")), lambda w, n=n: grams(w, n))).alias("at", "h"))
+        own = train.select("doc_id", F.posexplode(_grams_of(F.col("text"), n)).alias("at", "h"))
         hits = hits.unionByName(own.join(small(keys), "h").select("doc_id", "item_id", "at", F.lit(n).alias("n")))
     return hits
 
