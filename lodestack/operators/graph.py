@@ -1,0 +1,75 @@
+"""Graph operators over links(source, target, relation, origin) and nodes(id, label, kind)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def degrees(links: DataFrame) -> DataFrame:
+    """Links at each node; a loop counts twice. One scan: both ends leave each link together."""
+    return links.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def stats(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    by_origin = links.groupBy(F.coalesce("origin", F.lit("unknown")).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("links").alias("what"), "name", "n")
+    return by_origin.unionByName(nodes.groupBy(F.col("kind").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("nodes").alias("what"), "name", "n"))
+
+
+def focus(nodes: DataFrame, links: DataFrame, skip: Column) -> DataFrame:
+    """The node of most links that ``skip`` does not name, ties to the least id; if it names all, of all nodes."""
+    every = nodes.join(degrees(links), "id", "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"), skip.cast("int").alias("skipped"))
+    return every.orderBy("skipped", F.desc("degree"), "id").limit(1).select("id", "label", "degree")
+
+
+def matching(nodes: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """Nodes of which a column equals the query, case aside; only if there are none, those that contain it."""
+    low = query.lower()
+    exact = nodes.filter(F.expr(" or ".join(f"lower({c}) = '{low}'" for c in columns)))
+    partial = nodes.filter(F.expr(" or ".join(f"contains(lower({c}), '{low}')" for c in columns)))
+    return partial if exact.isEmpty() else exact
+
+
+def touching(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links of which either end is among ids(id): two equi-joins, as an OR of both would be a nested loop."""
+    one, other = ids.select(F.col("id").alias("source")), ids.select(F.col("id").alias("target"))
+    return links.join(one, "source", "left_semi").unionByName(links.join(one, "source", "left_anti").join(other, "target", "left_semi").select(links.columns))
+
+
+def labelled(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    names = nodes.groupBy("id").agg(F.min("label").alias("label"))
+    out = links
+    for end in ("source", "target"):
+        own = names.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+        out = out.join(own, end, "left").withColumn(f"{end}_label", F.coalesce(f"{end}_label", end))
+    return out
+
+
+def traverse(links: DataFrame, start: DataFrame, depth: int, reverse: bool = False, keep=None) -> DataFrame:
+    """(id, parent, relation, depth): a row for each link from a node first reached one level before, also to nodes
+    already seen; a node is expanded once. ``keep`` writes a level so that the next does not recompute it; the loop ends
+    with the depth or an empty frontier. A node's parent is the least of those that reach it first."""
+    here, there = ("target", "source") if reverse else ("source", "target")
+    keep = keep or (lambda df, name: df)
+    frontier = keep(start.select("id").distinct(), "frontier")
+    seen, out = frontier, None
+    for level in range(1, depth + 1):
+        if frontier.isEmpty():
+            break
+        rows = keep(links.join(frontier.select(F.col("id").alias(here)), here).select(F.col(there).alias("id"), F.col(here).alias("parent"), "relation", F.lit(level).alias("depth")), f"level-{level}")
+        out = rows if out is None else out.unionByName(rows)
+        frontier = keep(rows.select("id").distinct().join(seen, "id", "left_anti"), f"frontier-{level}")
+        seen = seen.unionByName(frontier)
+    if out is None:
+        return links.limit(0).select(F.col("source").alias("id"), F.col("source").alias("parent"), "relation", F.lit(0).alias("depth"))
+    return out
+
+
+def ancestors(commits: DataFrame, tips: DataFrame, depth: int = 10_000, keep=None) -> DataFrame:
+    """Every commit reachable from tips(id) over commits(source: child, target: parent), tips included."""
+    reached = traverse(commits, tips, depth, keep=keep)
+    return reached.select("id").unionByName(tips.select("id")).distinct()
+
+
+def first_by(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
