@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.sources.shared import cut
+
 
 def degrees(links: DataFrame) -> DataFrame:
     """Links at each node; a loop counts twice. One scan: both ends leave each link together."""
@@ -45,29 +47,29 @@ def labelled(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def traverse(links: DataFrame, start: DataFrame, depth: int, reverse: bool = False, keep=None) -> DataFrame:
+def traverse(links: DataFrame, start: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """(id, parent, relation, depth): a row for each link from a node first reached one level before, also to nodes
-    already seen; a node is expanded once. ``keep`` writes a level so that the next does not recompute it; the loop ends
-    with the depth or an empty frontier. A node's parent is the least of those that reach it first."""
+    already seen; a node is expanded once. Each level is written, so that the next does not recompute it; the loop ends
+    with the depth or an empty frontier."""
     here, there = ("target", "source") if reverse else ("source", "target")
-    keep = keep or (lambda df, name: df)
-    frontier = keep(start.select("id").distinct(), "frontier")
+    frontier = start.select("id").distinct()
     seen, out = frontier, None
     for level in range(1, depth + 1):
         if frontier.isEmpty():
             break
-        rows = keep(links.join(frontier.select(F.col("id").alias(here)), here).select(F.col(there).alias("id"), F.col(here).alias("parent"), "relation", F.lit(level).alias("depth")), f"level-{level}")
+        rows = cut(links.join(frontier.select(F.col("id").alias(here)), here).select(F.col(there).alias("id"), F.col(here).alias("parent"), "relation", F.lit(level).alias("depth")))
         out = rows if out is None else out.unionByName(rows)
-        frontier = keep(rows.select("id").distinct().join(seen, "id", "left_anti"), f"frontier-{level}")
-        seen = seen.unionByName(frontier)
+        if level < depth:
+            frontier = cut(rows.select("id").distinct().join(seen, "id", "left_anti"))
+            seen = cut(seen.unionByName(frontier))
     if out is None:
         return links.limit(0).select(F.col("source").alias("id"), F.col("source").alias("parent"), "relation", F.lit(0).alias("depth"))
     return out
 
 
-def ancestors(commits: DataFrame, tips: DataFrame, depth: int = 10_000, keep=None) -> DataFrame:
+def ancestors(commits: DataFrame, tips: DataFrame, depth: int = 10_000) -> DataFrame:
     """Every commit reachable from tips(id) over commits(source: child, target: parent), tips included."""
-    reached = traverse(commits, tips, depth, keep=keep)
+    reached = traverse(commits, tips, depth)
     return reached.select("id").unionByName(tips.select("id")).distinct()
 
 

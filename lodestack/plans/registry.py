@@ -254,7 +254,7 @@ def audit_ladder(spark, d):
 def commit_ancestry(spark, d):
     docs = T.table(spark, d, "documents").filter("doc_id > 0")
     commits = docs.select(F.col("doc_id").cast("string").alias("source"), F.explode(F.array(F.floor(F.col("doc_id") / 2).cast("string"), F.floor(F.col("doc_id") / 3).cast("string"))).alias("target"), F.lit("parent").alias("relation"))
-    return graph.ancestors(commits.cache(), spark.createDataFrame([("700",)], "id string"), 30, keep=lambda df, name: df.cache())
+    return graph.ancestors(commits, spark.createDataFrame([("700",)], "id string"))
 
 
 # ------------------------------------------------------------------ graph
