@@ -70,16 +70,23 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0).to_numpy(), byte_texts(batch.column(1))
         for lo, hi in in_chunks(texts):
             text, first, stop, h = Sentences(texts[lo:hi]).runs()
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][text]), pa.array(first), pa.array(stop)], ["h", "doc_id", "first", "stop"])
+            again = np.ones(len(h), bool)  # the text holds the run before
+            order = np.lexsort((first, h, text))
+            if len(h):
+                again[order[0]] = False
+                again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][text]), pa.array(first), pa.array(stop), pa.array(again)], ["h", "doc_id", "first", "stop", "again"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, first, stop, first_id): runs that are not the first of their kind; first_id: the document of the first."""
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    runs = texts.mapInArrow(_runs, "h long, doc_id long, first long, stop long")
-    place = F.struct("doc_id", "first")
-    least = keep(runs.groupBy("h").agg(F.min(place).alias("one"), F.max(place).alias("other")).filter("one <> other").select("h", "one"), "span-firsts")
-    return runs.join(least, "h").filter(F.struct("doc_id", "first") != F.col("one")).select("doc_id", "first", "stop", F.col("one.doc_id").alias("first_id"))
+    runs = texts.mapInArrow(_runs, "h long, doc_id long, first long, stop long, again boolean")
+    # a repeat within its own document needs no join; of the others the first document of each run is enough
+    places = runs.filter("not again").select("h", "doc_id", "first", "stop")
+    least = keep(places.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("h", "first_id"), "span-firsts")
+    far = places.join(least, "h").filter("doc_id <> first_id").select("doc_id", "first", "stop", "first_id")
+    return far.unionByName(runs.filter("again").select("doc_id", "first", "stop", F.col("doc_id").alias("first_id")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let local Python workers import this package from where the driver did. A cluster gets it by --py-files."""
+    """Let local Python workers import this package from where the driver did (a cluster gets it by --py-files), and
+    keep Arrow batches of whole texts small: a default of 10,000 rows is lowered to 2,000."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
