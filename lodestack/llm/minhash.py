@@ -185,11 +185,11 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     heavy, counts = listed[:, 0].astype(np.int64).view(np.uint64), listed[:, 1]
     by = np.argsort(heavy)
     postings = reps.select("doc_id", "n_shingles", "sig").mapInArrow(_post(heavy[by], counts[by]), "token long, rep long, n long")
-    lists = keep(postings.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "mh-lists")
+    lists = keep(postings.groupBy("token").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "hub"), "mh-lists")
     shared = keep(postings.join(lists, "token"), "mh-postings")  # postings of lists of two or more
 
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    stars = shared.filter((F.col("rep") != F.col("hub")) & fits("n", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = shared.filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     first = _links(stars, reps, texts, percent)
     joined = keep(components(first), "mh-first")
 
