@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import bloom_cascade, lattice_lm, line_cleaning, minhash, mixing, pii_votes, sentence_spans, subword_classifier, token_ids, winnowing
+from lodestack.llm.oracles import ORACLES
 from lodestack.llm.shared import ship
 
 
@@ -93,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_winnowing": op10_winnowing,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
