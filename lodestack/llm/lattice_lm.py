@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.shared import keep
 from lodestack.llm.text import BYTE, BYTE_LOWER, Words, _power_tables, byte_texts, in_chunks, mix
 
-HEAVY_WORDS = 200_000
+HEAVY_WORDS = 120_000
 ROUNDS = 3
 #: Added to every piece's expected count.
 SMOOTH = 0.1
@@ -207,7 +207,7 @@ def _score(keys: np.ndarray, c: np.ndarray, logp: np.ndarray):
                 at = np.where(keys[at] == w.hashes, at, len(c)) if len(keys) else np.full(len(w.hashes), len(c))
                 rows = np.arange(row, row + k)
                 row += k
-                sums = [np.bincount(w.doc, x[at], k) for x in (known, log_c, logp)]
+                sums = [np.bincount(w.doc, x[at], k).astype(float) for x in (known, log_c, logp)]
                 none = pa.nulls(k, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0).slice(lo, k), batch.column(1).slice(lo, k), pa.array(w.last - w.first), *map(pa.array, sums), none], names)
                 rest = at == len(c)
@@ -225,6 +225,18 @@ def _score(keys: np.ndarray, c: np.ndarray, logp: np.ndarray):
     return run
 
 
+def _most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """At most so many of the words of highest n: those above a threshold, found from counts by magnitude."""
+    step = F.floor(F.log2("n") * 16)
+    left, least = most, None
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():  # 16 rows a doubling
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["least"]
+    return words.select("h", "c", "logp").filter(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def score(docs: DataFrame, vocabulary: str, parts: int = 7, part: int = 2) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -239,7 +251,7 @@ def score(docs: DataFrame, vocabulary: str, parts: int = 7, part: int = 2) -> Da
     total, distinct = c + ends, v + (ends > 0)
     pieces, discount, mass, end = train(words, ends, Pieces.from_file(vocabulary))
     scored = keep(words.mapInArrow(_marginals(pieces, discount, mass), "h long, c long, n long, logp double"), "lm-scored")
-    heavy = scored.orderBy(F.desc("n"), "h").limit(HEAVY_WORDS).toPandas()
+    heavy = _most_frequent(scored, HEAVY_WORDS).toPandas()
     keys = heavy["h"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(keys)
     parts_of = keep(
