@@ -91,8 +91,7 @@ class Words:
         inside = np.zeros(len(self.bytes) + 1, np.int8)
         inside[1:] = ~white[self.bytes]
         step = np.diff(inside)
-        self.starts = np.flatnonzero(step == 1)
-        self.ends = np.flatnonzero(step == -1)
+        self.starts, self.ends = self.bounds(np.flatnonzero(step == 1), np.flatnonzero(step == -1))
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begins = np.concatenate([[0], np.cumsum(lengths + 1)])
         bounds = np.searchsorted(self.starts, self.begins)
@@ -104,6 +103,10 @@ class Words:
             np.cumsum(table[self.bytes] * power[:-1], out=self.sums[1:])
         self.hashes = span_hashes(self.sums, self.starts, self.ends, self.inverse)
 
+    def bounds(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of what is taken as words; here the runs between white space."""
+        return starts, ends
+
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]]
 

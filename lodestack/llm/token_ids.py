@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.shared import keep
-from lodestack.llm.text import BYTE_LOWER, IS_WHITE, Words, byte_texts, in_chunks, span_hashes
+from lodestack.llm.text import BYTE_LOWER, IS_WHITE, Words, byte_texts, in_chunks
 
 END_ID = 1
-SEGMENT_IDS = 1 << 18
+#: Bytes of text a segment is cut at.
+SEGMENT_BYTES = 2 << 20
 BYTES_A_FILE = 32 << 20
 #: Words whose ids a worker remembers before it starts anew; it bounds memory and changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 3_000_000
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -59,68 +60,91 @@ class Tokens:
 
     The tokenizer drops white space, folds case and splits letters from punctuation before it merges, so a text's ids
     are its words' ids in order; a final full stop or comma after an ASCII letter is a word of its own. Words that may
-    hold a special token are never folded.
+    hold a special token are never folded. The memory is sorted arrays: 30 bytes a word.
     """
 
+    MARK, GROUP = "|", 200
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint16), 0
-        self.at, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        for lo in range(0, len(words), 20_000):
-            for key, e in zip(keys[lo:], self.tokenizer.encode_batch(words[lo : lo + 20_000], add_special_tokens=False), strict=False):
-                ids = e.ids
-                k = len(self.known)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                if k == len(self.at):
-                    self.at, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.size))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.at[k], self.size[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[key] = k
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint16)
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, where each word's begin and how many it has. Words are encoded in groups with a mark between
+        them; those that hold the mark themselves, and groups that do not come apart as they should, one by one."""
+        alone = [i for i, w in enumerate(words) if self.MARK in w]
+        together = np.delete(np.arange(len(words)), alone)
+        groups = [together[i : i + self.GROUP] for i in range(0, len(together), self.GROUP)]
+        at, size, flat, used = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        for group, got in zip(groups, self._encode([f" {self.MARK} ".join([words[i] for i in g]) for g in groups]), strict=True):
+            marks = np.flatnonzero(got == self.mark)
+            if len(marks) != len(group) - 1:
+                alone += group.tolist()
+                continue
+            at[group] = used + np.append(0, marks + 1)
+            size[group] = np.append(marks, len(got)) - np.append(0, marks + 1)
+            flat.append(got)
+            used += len(got)
+        for i, got in zip(alone, self._encode([words[i] for i in alone]), strict=True):
+            at[i], size[i] = used, len(got)
+            flat.append(got)
+            used += len(got)
+        return np.concatenate(flat), at, size
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        flat, at, size = self._ids_of(words)
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at + len(self.flat)), np.insert(self.size, where, size)
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by END_ID; and how many each text has."""
         w = _Parts(texts)
-        values, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        if not len(w.hashes):
+            return np.full(len(texts), END_ID, np.uint16), np.ones(len(texts), np.int64)
+        keys, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > REMEMBERED:
             self._forget()
-        keys = values.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.known]
-        self._learn([keys[i] for i in new], [w.word(first[i]).decode() for i in new])
-        slot = np.fromiter((self.known[key] for key in keys), np.int64, len(keys))[inverse]
+        new = np.arange(len(keys)) if not len(self.keys) else np.flatnonzero(self.keys[self._slots(keys)] != keys)
+        if len(new):
+            self._learn(keys[new], [w.word(i).decode() for i in first[new]])
+        slot = self._slots(keys)[inverse]
         size, at = self.size[slot], self.at[slot]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(at - (ends - size), size) + np.arange(total)]
+        flat = self.flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1])]
         upto = np.concatenate([[0], ends])
-        n = upto[w.last] - upto[w.first]
-        return np.insert(flat, upto[w.last], END_ID) if len(texts) else flat, n + 1
+        return np.insert(flat, upto[w.last], END_ID), upto[w.last] - upto[w.first] + 1
 
 
 class _Parts(Words):
     def __init__(self, texts: list[bytes]) -> None:
         super().__init__(texts, BYTE_LOWER)
         b = self.bytes
-        letter = np.zeros(256, bool)
-        letter[65:91] = letter[97:123] = True
-        mark = (b[1:-1] == 46) | (b[1:-1] == 44)
-        cut = np.flatnonzero(mark & letter[b[:-2]] & IS_WHITE[b[2:]]) + 1
         bar = np.flatnonzero((b[:-1] == 60) & (b[1:] == 124))  # "<|"
-        self.starts, self.ends = np.sort(np.concatenate([self.starts, cut])), np.sort(np.concatenate([self.ends, cut]))
-        self.hashes = span_hashes(self.sums, self.starts, self.ends, self.inverse)
         for i in np.unique(np.searchsorted(self.starts, bar, "right") - 1):  # few: by the bytes as they are
             self.hashes[i] ^= np.uint64(int.from_bytes(hashlib.blake2b(self.word(i), digest_size=8).digest(), "little"))
-        bounds = np.searchsorted(self.starts, self.begins)
-        self.first, self.last = bounds[:-1], bounds[1:]
+
+    def bounds(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        b = self.bytes
+        letter = np.zeros(256, bool)
+        letter[65:91] = letter[97:123] = True
+        mark = np.flatnonzero((b == 46) | (b == 44))
+        mark = mark[(mark > 0) & (mark < len(b) - 1)]
+        cut = mark[letter[b[mark - 1]] & IS_WHITE[b[mark + 1]]]
+        return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
 
 
 _tokens: dict[str, Tokens] = {}
@@ -153,7 +177,7 @@ def _write(path: str, rank_of: np.ndarray):
         segment = start = 0
         for batch in batches:
             ids, texts = batch.column(0), byte_texts(batch.column(1))
-            for lo, hi in in_chunks(texts, SEGMENT_IDS * 2):
+            for lo, hi in in_chunks(texts, SEGMENT_BYTES):
                 flat, n = tokens.ids(texts[lo:hi])
                 control, data = encode(rank_of[flat])
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([segment]), pa.array([start]), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], schema=schema)
