@@ -11,7 +11,9 @@ over whole signatures, and confirmed on whole sets, only members of different co
 of near copies costs its size, not its square, and no link between two components goes unseen. Sizes that rule the
 similarity out are skipped too.
 
-MATCHES leaves 6 standard deviations below the 96 that sets of similarity 0.75 agree in on average.
+MATCHES leaves 5 standard deviations below the 192 that sets of similarity 0.75 agree in on average. More coordinates
+make the prefix a smaller share of them: sets that share a passage, and are not similar enough, then part by their own
+words before they reach the passage's pairs, and are never paired.
 
 Null, empty and blank texts have an empty set and are linked with nothing; so are rows without an id. Rows that repeat
 an id count as one document. Extra columns are not read.
@@ -32,12 +34,14 @@ from lodestack.llm.text import BYTE_LOWER, Words, _splitmix, byte_texts, in_chun
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
-COORDINATES = 128
-MATCHES = 66
+COORDINATES = 256
+MATCHES = 157
 PREFIX = COORDINATES - MATCHES + 1
 #: Pairs whose frequency orders the prefixes: those of at least HEAVY_LEAST postings, the HEAVY_MOST most frequent. It is
 #: only an order: any bound gives the same links, a lower one longer posting lists.
 HEAVY_LEAST, HEAVY_MOST = 24, 100_000
+#: Ids up to which a list of documents is broadcast (some 16 bytes an id); a longer one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _A = _splitmix(COORDINATES, 1001) | np.uint64(1)
 _B = _splitmix(COORDINATES, 2002)
@@ -152,6 +156,23 @@ def _confirm(percent: int):
     return run
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _representatives(described: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, sig) of one document of each set. Where no row repeats an id and few are left out, signatures
+    stay where they are; else they are dealt by id."""
+    rows = described.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sig")
+    others = described.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "h1", "h2").join(sets, ["h1", "h2"]).filter("doc_id <> rep").select("doc_id")
+    others = keep(others, "mh-others")
+    repeated = not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+    if not repeated and others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(others), "doc_id", "left_anti")
+    return keep(rows.join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "mh-sigs")
+
+
 def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b), those that agree by signature and then by whole sets."""
 
@@ -160,11 +181,12 @@ def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) ->
             df = df.join(side.select(F.col("doc_id").alias(x), F.col(what).alias(f"{what}_{x}")), x)
         return df.select("a", "b", f"{what}_a", f"{what}_b")
 
-    close = keep(both(pairs, sigs, "sig").mapInArrow(_agree, "a long, b long"), "mh-close")
-    # only texts that a pair names are shuffled
-    named = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    wanted = texts.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    wanted = keep(wanted, "mh-texts")
+    def named(df: DataFrame) -> DataFrame:
+        return _small(keep(df.select(F.col("a").alias("doc_id")).union(df.select("b")).distinct(), "mh-named"))
+
+    # only signatures and texts that a pair names are shuffled
+    close = keep(both(pairs, sigs.join(named(pairs), "doc_id", "left_semi"), "sig").mapInArrow(_agree, "a long, b long"), "mh-close")
+    wanted = keep(texts.join(named(close), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "mh-texts")
     links = keep(both(close, wanted, "text").mapInArrow(_confirm(percent), "a long, b long"), "mh-links")
     drop_kept(close, wanted)
     return links
@@ -178,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     rows = described.drop("sig")
     real = rows.filter("n_shingles > 0 and doc_id is not null")
     sets = keep(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "mh-reps")
-    reps = keep(described.select("doc_id", "n_shingles", "sig").join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").filter("n_shingles > 0").dropDuplicates(["doc_id"]), "mh-sigs")
+    reps = _representatives(described, sets)
 
     often = reps.select("sig").mapInArrow(_often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_LEAST)
     listed = np.array([(r[0], r[1]) for r in often.orderBy(F.desc("n"), "token").limit(HEAVY_MOST).collect()], np.int64).reshape(-1, 2)
@@ -190,6 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
 
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     stars = shared.filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = keep(stars, "mh-stars")
     first = _links(stars, reps, texts, percent)
     joined = keep(components(first), "mh-first")
 
@@ -203,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     rest = rest.join(stars, ["a", "b"], "left_anti")
     second = _links(keep(rest, "mh-rest"), reps, texts, percent)
     found = keep(components(first.unionByName(second)), "mh-components")
-    drop_kept(shared, lists, placed, left, joined, first, second)
+    drop_kept(shared, lists, stars, placed, left, joined, first, second)
 
     by_set = keep(sets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")), "mh-classes")
     return rows.join(by_set, ["h1", "h2"], "left").select(
