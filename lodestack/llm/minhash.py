@@ -9,7 +9,8 @@ passages that many documents share, so fall out of the prefixes.
 Merging skips what is already known. Each posting list first meets its least member only; after those pairs are counted
 over whole signatures, and confirmed on whole sets, only members of different components still meet. So a large group
 of near copies costs its size, not its square, and no link between two components goes unseen. Sizes that rule the
-similarity out are skipped too.
+similarity out are skipped too. Of a list of more than ``CROWD`` members not all pairs are made: there only pairs whose
+whole sets, rare shingles first, share one early enough for the similarity still to be reached.
 
 MATCHES leaves 5 standard deviations below the 192 that sets of similarity 0.75 agree in on average. More coordinates
 make the prefix a smaller share of them: sets that share a passage, and are not similar enough, then part by their own
@@ -42,6 +43,8 @@ PREFIX = COORDINATES - MATCHES + 1
 HEAVY_LEAST, HEAVY_MOST = 24, 100_000
 #: Ids up to which a list of documents is broadcast (some 16 bytes an id); a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of an open list that still meet each other: at most half as many pairs as this for each posting.
+CROWD = 32
 
 _A = _splitmix(COORDINATES, 1001) | np.uint64(1)
 _B = _splitmix(COORDINATES, 2002)
@@ -192,6 +195,66 @@ def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) ->
     return links
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = byte_texts(batch.column(1))
+        for lo, hi in in_chunks(texts):
+            values, counts = np.unique(np.concatenate(shingle_sets(texts[lo:hi])), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["shingle", "n"])
+
+
+def _first_shingles(often: np.ndarray, counts: np.ndarray, percent: int):
+    """The first shingles of each set, rare ones first, as far as a similar set could have its first shared one. often:
+    sorted shingles; counts: how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), byte_texts(batch.column(1))
+            for lo, hi in in_chunks(texts):
+                first = []
+                for s in (sets := shingle_sets(texts[lo:hi])):
+                    if len(often):
+                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                        s = s[np.lexsort((s, np.where(often[at] == s, counts[at], 0)))]
+                    first.append(s[: len(s) - -(-percent * len(s) // 100) + 1])
+                k = np.array([len(s) for s in first])
+                place = np.concatenate([np.arange(n) for n in k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(ids[lo:hi], k)), pa.array(np.repeat([len(s) for s in sets], k)), pa.array(place)], ["shingle", "rep", "n", "p"])
+
+    return run
+
+
+def _crowded_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of crowd(rep, component) in different components, among them all that are similar enough.
+
+    Sets of x and y shingles, x <= y, need percent (x + y) / (100 + percent) shingles in common. Then their first common
+    one, in any order of all shingles, stands early in both: the smaller set posts only what a set of its own size or more
+    could need, and what follows the shared shingle must still hold the rest.
+    """
+    members = keep(texts.join(_small(crowd.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "mh-crowd")
+    often = members.mapInArrow(_shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_LEAST)
+    listed = np.array([(r[0], r[1]) for r in often.orderBy(F.desc("n"), "shingle").limit(HEAVY_MOST).collect()], np.int64).reshape(-1, 2)
+    values = listed[:, 0].copy().view(np.uint64)
+    by = np.argsort(values)
+    posted = members.mapInArrow(_first_shingles(values[by], listed[by, 1], percent), "shingle long, rep long, n long, p long").join(crowd, "rep")
+    posted = keep(posted, "mh-first-shingles")
+    a, b = posted.alias("a"), posted.alias("b")
+    x, y, both = F.col("a.n"), F.col("b.n"), F.lit(100 + percent)
+    return (
+        a.filter(both * (x - F.col("a.p")) >= 2 * percent * x)
+        .join(
+            b,
+            (F.col("a.shingle") == F.col("b.shingle"))
+            & ((x < y) | ((x == y) & (F.col("a.rep") < F.col("b.rep"))))
+            & (F.col("a.component") != F.col("b.component"))
+            & (F.lit(100) * x >= F.lit(percent) * y)
+            & (both * F.least(x - F.col("a.p"), y - F.col("b.p")) >= F.lit(percent) * (x + y)),
+        )
+        .select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least id it reaches by links), kept."""
     spark = docs.sparkSession
@@ -219,10 +282,12 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     # members of a list that are in different components yet
     placed = shared.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
     placed = keep(placed, "mh-placed")
-    open_lists = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+    open_lists = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("token", "c")
     left = keep(placed.join(open_lists, "token"), "mh-open")
-    a, b = left.alias("a"), left.alias("b")
+    a, b = left.filter(F.col("c") <= CROWD).alias("a"), left.filter(F.col("c") <= CROWD).alias("b")
     rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component")) & fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    crowd = keep(left.filter(F.col("c") > CROWD).select("rep", "component").distinct(), "mh-crowd-ids")
+    rest = rest.unionByName(_crowded_pairs(crowd, texts, percent)).distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
     second = _links(keep(rest, "mh-rest"), reps, texts, percent)
     found = keep(components(first.unionByName(second)), "mh-components")
