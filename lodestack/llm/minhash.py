@@ -3,8 +3,9 @@
 A document's set holds its distinct five-word shingles (the whole sequence, if it has fewer words). Documents of equal
 sets are one representative. A signature has ``COORDINATES`` least hashes; a representative is posted under the
 coordinate-value pairs of its prefix: in one order of all pairs, frequent ones last, two signatures that agree in at
-least ``MATCHES`` coordinates share a pair among the first COORDINATES - MATCHES + 1 of each. Frequent pairs, as of
-passages that many documents share, so fall out of the prefixes.
+least ``MATCHES`` coordinates share ``COLLISIONS`` pairs among the first COORDINATES - MATCHES + COLLISIONS of each; pairs
+of documents with fewer collisions go by count. Frequent pairs, as of passages that many documents share, so fall out of
+the prefixes.
 
 Merging skips what is already known. Each posting list first meets its least member only; after those pairs are counted
 over whole signatures, and confirmed on whole sets, only members of different components still meet. So a large group
@@ -37,14 +38,15 @@ SHINGLE = 5
 SIMILARITY_PERCENT = 75
 COORDINATES = 256
 MATCHES = 157
-PREFIX = COORDINATES - MATCHES + 1
+COLLISIONS = 8
+PREFIX = COORDINATES - MATCHES + COLLISIONS
 #: Pairs whose frequency orders the prefixes: those of at least HEAVY_LEAST postings, the HEAVY_MOST most frequent. It is
 #: only an order: any bound gives the same links, a lower one longer posting lists.
 HEAVY_LEAST, HEAVY_MOST = 24, 100_000
 #: Ids up to which a list of documents is broadcast (some 16 bytes an id); a longer one is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of an open list that still meet each other: at most half as many pairs as this for each posting.
-CROWD = 32
+CROWD = 64
 
 _A = _splitmix(COORDINATES, 1001) | np.uint64(1)
 _B = _splitmix(COORDINATES, 2002)
@@ -176,6 +178,10 @@ def _representatives(described: DataFrame, sets: DataFrame) -> DataFrame:
     return keep(rows.join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "mh-sigs")
 
 
+def _colliding(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= COLLISIONS).select("a", "b")
+
+
 def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b), those that agree by signature and then by whole sets."""
 
@@ -274,7 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     shared = keep(postings.join(lists, "token"), "mh-postings")  # postings of lists of two or more
 
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    stars = shared.filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = _colliding(shared.filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     stars = keep(stars, "mh-stars")
     first = _links(stars, reps, texts, percent)
     joined = keep(components(first), "mh-first")
@@ -285,7 +291,9 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     open_lists = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("token", "c")
     left = keep(placed.join(open_lists, "token"), "mh-open")
     a, b = left.filter(F.col("c") <= CROWD).alias("a"), left.filter(F.col("c") <= CROWD).alias("b")
-    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component")) & fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component")) & fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
+    # two of a crowded list are both in the crowd; of others every collision counts here
+    rest = _colliding(rest)
     crowd = keep(left.filter(F.col("c") > CROWD).select("rep", "component").distinct(), "mh-crowd-ids")
     rest = rest.unionByName(_crowded_pairs(crowd, texts, percent)).distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
