@@ -1,10 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends with a word that ends in . ! or ? or at a line break; one of more than LONGEST words is cut into pieces
-of that length, each taken as a sentence. From every sentence begins one run: the fewest consecutive sentences, at least
-RUN of them, that hold at least RUN_WORDS words. Runs are hashed and joined over the whole corpus; the first of equal
+A sentence ends with a word that ends in . ! or ?, closing quotes and brackets after it aside, or at a line break. One of
+more than LONGEST words is cut where its words say so, each piece taken as a sentence: of every LONGEST consecutive words
+that begin no sentence, the one of the least hash begins a piece. So no piece is longer, and where a passage is cut hangs
+on its own words, but for LONGEST at either side. From every sentence begins one run: the fewest consecutive sentences, at
+least RUN of them, that hold at least RUN_WORDS words. Runs are hashed and joined over the whole corpus; the first of equal
 runs, by document id and place, stays, and sentences that any other covers are removed.
 
+Two copies of a passage of n words are cut alike from at most its word LONGEST (counted from 0) to at least its word
+n - LONGEST. With 2 * LONGEST + RUN_WORDS <= 50 and RUN * LONGEST <= RUN_WORDS, all copies of over 50 words share a run,
+whatever stands around them.
+
 Null, empty and blank texts have no sentences. Rows that repeat an id count as one document; rows without an id are left
 alone and make nothing else a repeat. Extra columns pass through ``remove_repeats``.
 """
@@ -23,7 +29,44 @@ from lodestack.llm.text import BASE, BASE_INV, BYTE, Words, byte_texts, in_chunk
 
 RUN = 3
 RUN_WORDS = 30
-LONGEST = 16
+LONGEST = 10
+
+#: Closing quotes and brackets, which may follow the stop of a sentence.
+CLOSERS = tuple(c.encode() for c in "\"')]}’”“»›")
+
+
+def _stops(w: Words) -> np.ndarray:
+    """Whether each word ends in a stop, closers after it aside."""
+    ends = w.ends.copy()
+    at = np.arange(len(ends))
+    while len(at):
+        shorter = np.zeros(len(at), np.int64)
+        for c in CLOSERS:
+            closes = ends[at] - w.starts[at] > len(c)
+            for k, byte in enumerate(reversed(c), 1):
+                closes &= w.bytes[ends[at] - k] == byte
+            shorter[closes] = len(c)
+        ends[at] -= shorter
+        at = at[shorter > 0]
+    return np.isin(w.bytes[ends - 1], np.frombuffer(b".!?", np.uint8))
+
+
+def _slid(x: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """``least`` (np.minimum or np.maximum) of every ``width`` consecutive values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x, have = least(x[:-step], x[step:]), have + step
+    return x
+
+
+def _cuts(hashes: np.ndarray, begins_one: np.ndarray) -> np.ndarray:
+    """Whether each word begins a sentence or a piece. Words of equal least hashes all do."""
+    if len(hashes) < LONGEST:
+        return begins_one
+    rank = np.where(begins_one, np.uint64(0), hashes | np.uint64(1))
+    edge = np.zeros(LONGEST - 1, np.uint64)
+    return begins_one | (_slid(np.concatenate([edge, _slid(rank, LONGEST, np.minimum), edge]), LONGEST, np.maximum) == rank)
 
 
 class Sentences:
@@ -33,14 +76,12 @@ class Sentences:
         self.words = w = Words(texts, BYTE)
         n = len(w.starts)
         breaks = np.concatenate([[0], np.cumsum(w.bytes == 10)])
-        ends_one = np.isin(w.bytes[w.ends - 1], np.frombuffer(b".!?", np.uint8)) if n else np.zeros(0, bool)
-        if n:
-            ends_one[:-1] |= breaks[w.starts[1:]] > breaks[w.ends[:-1]]
-            ends_one[-1] = True
-        begins = np.concatenate([[0], np.flatnonzero(ends_one[:-1]) + 1]) if n else np.zeros(0, np.int64)
+        begins = np.zeros(0, np.int64)
         if n:
-            of = np.cumsum(np.concatenate([[0], ends_one[:-1]]))
-            begins = np.flatnonzero((np.arange(n) - begins[of]) % LONGEST == 0)
+            begins_one = np.ones(n, bool)
+            begins_one[1:] = _stops(w)[:-1] | (breaks[w.starts[1:]] > breaks[w.ends[:-1]])
+            begins_one[w.first[w.first < w.last]] = True
+            begins = np.flatnonzero(_cuts(w.hashes, begins_one))
         self.begin, self.end = begins, np.append(begins[1:], n) if n else begins
         self.first, self.last = np.searchsorted(begins, w.first), np.searchsorted(begins, w.last)
 

@@ -228,6 +228,41 @@ def test_repeated_passages_go_and_first_copies_stay(spark):
     assert inside[9].text.strip() == passage
 
 
+def test_repeated_passages_are_found_wherever_they_begin(spark):
+    shared.ship(spark)
+    rng = np.random.default_rng(5)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, copies = [], set()
+    for i in range(200):
+        passage = some(51 + i % 20)
+        if i % 3:
+            passage[rng.integers(0, 12)] += (".", '."', "?”)")[i % 3]
+        if i % 4 == 3:
+            passage[-1 - rng.integers(0, 12)] += "."
+        for k in range(2):
+            rows.append((2 * i + k, " ".join(["Opens.", *some(rng.integers(0, 40)), *passage, *some(rng.integers(0, 40)), "ends."])))
+        copies.add(2 * i + 1)
+    rows += [(1000, " ".join(["same"] * 500)), (1001, " ".join(some(900)))]
+    got = {r.doc_id: r for r in sentence_spans.changed_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    windows = Counter(tuple(w[k : k + 30]) for _, t in rows for w in [words(t)] for k in range(len(w) - 29))
+    assert {i for i, t in rows if any(windows[tuple(w[k : k + 30])] > 1 for w in [words(t)] for k in range(len(w) - 29))} == copies | {i - 1 for i in copies} | {1000}
+    assert set(got) == copies | {1000}
+    texts = dict(rows)
+    for i in copies:
+        left, both = words(got[i].text), set(words(texts[i])) & set(words(texts[i - 1]))
+        assert len(words(texts[i])) - len(left) >= 30 and set(words(texts[i])) - set(left) <= both
+
+
+def test_sentences_are_cut_alike_alone_and_together():
+    sample = [" ".join(f"w{i * i % 97}{'.' * (i % 23 == 5)}" for i in range(k, 3 * k)).encode() for k in (0, 1, 4, 9, 10, 11, 40, 200)] + [b"", b'He said "so." (Or "no!") Then he went.']
+    s = sentence_spans.Sentences(sample)
+    for i, t in enumerate(sample):
+        own = sentence_spans.Sentences([t])
+        assert (s.begin[s.first[i] : s.last[i]] - s.words.first[i]).tolist() == own.begin.tolist()
+        assert not len(own.begin) or (own.end - own.begin).max() <= sentence_spans.LONGEST
+    assert own.begin.tolist() == [0, 3, 5]
+
+
 def test_variable_length_code_round_trips():
     rng = np.random.default_rng(1)
     for values in (np.zeros(0, np.uint32), np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], np.uint32), rng.integers(0, 2**32, 1001, dtype=np.uint32) >> rng.integers(0, 32, 1001, dtype=np.uint32)):
