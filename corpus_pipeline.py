@@ -15,9 +15,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose their failing lines."""
+    """Rejected documents go; the others lose their failing lines. Long lines are not judged by a single mention."""
     ship(spark)
-    out = line_cleaning.clean_lines(docs).filter("kept")
+    out = line_cleaning.clean_lines(docs, fails=line_cleaning.dense_line_fails).filter("kept")
     return out.withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -9,6 +9,8 @@ through unchanged; columns of the same names as the added ones are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ SHOUTING = r"([!?#*$%&]{2,}[^!?#*$%&]*){3}"
 NAVIGATION = r"(\|.*\|)|([»›•·>].*[»›•·>])|^(home|menu|login|log in|sign up|sign in|search|next|previous|back to top|read more|skip to content)\b"
 BOILERPLATE = r"\b(cookies?|javascript|terms of (use|service)|privacy policy|all rights reserved|licensed under|released under|copyright|subscribe to|click here|lorem ipsum)\b|©"
 
+#: For ``dense_line_fails``: a line fails if it holds a match for every so many of its words.
+NAVIGATION_WORDS = 8
+BOILERPLATE_WORDS = 16
+SEPARATOR = "[»›•·>|]"
+QUOTED = r"«([^«»]*)»", r"»([^«»]*)«", r"‹([^‹›]*)›", r"›([^‹›]*)‹"
+
 
 def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the same text."""
@@ -51,11 +59,25 @@ def line_fails(line: Column) -> Column:
     return ~line.rlike(SENTENCE_END) | line.rlike(SHOUTING) | low.rlike(NAVIGATION) | low.rlike(BOILERPLATE)
 
 
+def dense_line_fails(line: Column) -> Column:
+    """As ``line_fails``, but navigation and boilerplate fail a line only by matches as dense as there: signs that quote
+    are none, and a mention in a line of prose removes nothing."""
+
+    def of_lower(low: Column) -> Column:
+        plain = low
+        for pair in QUOTED:
+            plain = F.regexp_replace(plain, pair, "$1")
+        navigation = let(plain, lambda p: p.rlike(NAVIGATION) & (NAVIGATION_WORDS * F.greatest(F.regexp_count(p, F.lit(SEPARATOR)), F.lit(1)) >= _n_words(p)))
+        return (low.rlike(NAVIGATION) & navigation) | (low.rlike(BOILERPLATE) & (BOILERPLATE_WORDS * F.regexp_count(low, F.lit(BOILERPLATE)) >= _n_words(low)))
+
+    return ~line.rlike(SENTENCE_END) | line.rlike(SHOUTING) | let(F.lower(line), of_lower)
+
+
 def _n_words(line: Column) -> Column:
     return F.size(words_of(line))
 
 
-def clean_lines(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, text: str = "text") -> DataFrame:
+def clean_lines(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, text: str = "text", fails: Callable[[Column], Column] = line_fails) -> DataFrame:
     """``docs`` with the measures of each text, ``cleaned`` (the text without its failing lines) and ``kept``.
 
     kept: false if base_failed, or if the removed lines hold more than ``max_lost_percent`` of the words.
@@ -73,7 +95,7 @@ def clean_lines(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, text:
         let(
             lines,
             lambda ls: let(
-                F.filter(ls, lambda x: ~line_fails(x)),
+                F.filter(ls, lambda x: ~fails(x)),
                 lambda good: F.struct(
                     (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                     (F.size(ls) - F.size(good)).cast("long").alias("n_failed_lines"),

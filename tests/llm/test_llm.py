@@ -196,6 +196,18 @@ def test_line_rules(spark):
     assert not rows[2].kept and rows[3].base_failed
 
 
+def test_pipeline_keeps_prose_that_mentions_what_the_line_rules_look_for(spark):
+    import corpus_pipeline
+
+    prose = " ".join(f"w{i}" for i in range(60)) + " and ends."
+    good = [f"Il répondit « oui » puis elle dit « non » et {prose}", f"Er sagte »ja« und sie »nein«, {prose}", f"Previous work has shown that {prose}", f"He ate cookies while {prose}", f"It was released under duress, said › who ‹ and {prose}", f"Where a > b holds and {prose}"]
+    bad = ["Home > Products > All of them.", "One. | Two | Three. | Four", "All rights reserved.", "Home page.", "We use cookies, see the privacy policy."]
+    rows = [*enumerate(good), (100, "\n".join([prose, *bad])), (101, " | ".join(f"w{i}." for i in range(200)))]
+    docs = spark.createDataFrame([(i, t, "fr", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs, FOLDER).collect()}
+    assert got == {**dict(enumerate(good)), 100: prose}
+
+
 def test_bloom_cascade_is_exact(spark):
     shared.ship(spark)
     keys = spark.range(20_000).select(F.xxhash64("id").alias("h"), (F.col("id") % 7 == 0).alias("listed"))
