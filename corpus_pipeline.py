@@ -29,10 +29,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; those without an id are told apart by their texts."""
     ship(spark)
-    hits = winnowing.shared_windows(docs, queries.table(spark, sf_dir, "benchmark"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    key = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    keyed = docs.withColumn("_key", key)
+    hits = winnowing.shared_windows(keyed, queries.table(spark, sf_dir, "benchmark"), doc_id="_key")
+    return keyed.join(hits.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -389,6 +389,17 @@ def test_pipeline_keeps_clean_documents_whole(spark):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_pipeline_decontaminates_documents_without_an_id(spark):
+    import corpus_pipeline
+
+    item = max((r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()), key=len)
+    clean = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"Before it {item}"), (None, clean), (None, None), (1, item), (2, clean), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=str) == sorted([(None, clean), (None, None), (2, clean), (3, None)], key=str)
+
+
 def test_digests_of_queries(spark):
     rows = queries.op10_winnowing(spark, FOLDER).collect()
     assert {r.items_sha256 for r in rows if not r.contaminated} == {hashlib.sha256(b"").hexdigest()}
