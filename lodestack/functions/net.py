@@ -81,3 +81,12 @@ def disallow_rules(robots: DataFrame) -> DataFrame:
     pair = row.filter(F.instr("raw", ":") > 0).select("site", "ord", F.lower(F.trim(F.substring_index("raw", ":", 1))).alias("key"), F.trim(F.expr("substring(raw, instr(raw, ':') + 1)")).alias("value"))
     agent = F.last(F.when(F.col("key") == "user-agent", F.col("value")), ignorenulls=True).over(Window.partitionBy("site").orderBy("ord"))
     return pair.withColumn("agent", agent).filter((F.col("key") == "disallow") & (F.col("agent") == "*") & (F.col("value") != "")).select("site", "ord", F.col("value").alias("rule"))
+
+
+def first_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page_id, rule): of (page_id, p) with (ord, rule) the first rule that begins the path p; an equi-join on the
+    prefixes of the lengths that rules use, so any number of rules is applied."""
+    lengths = [r.n for r in rules.select(F.length("rule").alias("n")).distinct().collect()]
+    used = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("p"))
+    prefixes = pages.select("page_id", F.explode(F.transform(used, lambda n: F.substring("p", F.lit(1), n))).alias("rule"))
+    return prefixes.join(rules, "rule").groupBy("page_id").agg(F.min_by("rule", "ord").alias("rule"))

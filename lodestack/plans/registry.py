@@ -414,8 +414,7 @@ def robots_blocked(spark, d):
     robots = spark.createDataFrame([("all", "User-agent: other\nDisallow: /\n\nUser-agent: *  # every agent\nDisallow: /de/\nDisallow:\nAllow: /x\ndisallow: /fr/1")], "site string, text string")
     rules = net.disallow_rules(robots).select("ord", "rule")
     pages = T.table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("p"))
-    hits = pages.join(F.broadcast(rules.limit(1_000)), F.startswith("p", "rule")).groupBy("page_id").agg(F.min_by("rule", "ord").alias("rule"))
-    return pages.select("page_id").join(hits, "page_id", "left")
+    return pages.select("page_id").join(net.first_rules(pages, rules), "page_id", "left")
 
 
 @query(

@@ -59,6 +59,14 @@ def test_address_ranges(spark):
     assert {r.ip: r.r for r in df.collect()} == want
 
 
+def test_every_robots_rule_is_applied(spark):
+    rules = spark.createDataFrame([(i, f"/{i}/") for i in range(1_500)] + [(2_000, "/7")], "ord int, rule string")
+    pages = spark.createDataFrame([(i, f"/{i}/x") for i in range(1_600)] + [(-1, ""), (-2, None), (-3, "/7")], "page_id int, p string")
+    got = {r.page_id: r.rule for r in net.first_rules(pages, rules).collect()}
+    assert got == {i: f"/{i}/" for i in range(1_500)} | {-3: "/7"}
+    assert net.first_rules(pages, rules.limit(0)).count() == 0
+
+
 def test_packing(spark):
     hits = spark.createDataFrame(
         [("q", "meta", "semantic", 0.5, "a", 1, "x" * 60), ("q", "vector", "semantic", 0.9, "b", 1, "y" * 2000), ("q", "vector", "keyword", None, "c", 1, "z"), ("q", "other", "semantic", 0.99, "d", None, "w")],
