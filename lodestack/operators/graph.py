@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,19 +49,19 @@ def labelled(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def traverse(links: DataFrame, start: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+def traverse(links: DataFrame, start: DataFrame, depth: int | None, reverse: bool = False) -> DataFrame:
     """(id, parent, relation, depth): a row for each link from a node first reached one level before, also to nodes
     already seen; a node is expanded once. Each level is written, so that the next does not recompute it; the loop ends
-    with the depth or an empty frontier."""
+    with the depth (None: no bound) or an empty frontier."""
     here, there = ("target", "source") if reverse else ("source", "target")
     frontier = start.select("id").distinct()
     seen, out = frontier, None
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         if frontier.isEmpty():
             break
         rows = cut(links.join(frontier.select(F.col("id").alias(here)), here).select(F.col(there).alias("id"), F.col(here).alias("parent"), "relation", F.lit(level).alias("depth")))
         out = rows if out is None else out.unionByName(rows)
-        if level < depth:
+        if depth is None or level < depth:
             frontier = cut(rows.select("id").distinct().join(seen, "id", "left_anti"))
             seen = cut(seen.unionByName(frontier))
     if out is None:
@@ -67,8 +69,9 @@ def traverse(links: DataFrame, start: DataFrame, depth: int, reverse: bool = Fal
     return out
 
 
-def ancestors(commits: DataFrame, tips: DataFrame, depth: int = 10_000) -> DataFrame:
-    """Every commit reachable from tips(id) over commits(source: child, target: parent), tips included."""
+def ancestors(commits: DataFrame, tips: DataFrame, depth: int | None = None) -> DataFrame:
+    """Every commit reachable from tips(id) over commits(source: child, target: parent), tips included; only by so many
+    levels where a depth is given."""
     reached = traverse(commits, tips, depth)
     return reached.select("id").unionByName(tips.select("id")).distinct()
 

@@ -110,6 +110,14 @@ def test_traversal_matches_a_walk(spark):
     assert graph.traverse(links, spark.createDataFrame([("none",)], "id string"), 3).count() == 0
 
 
+def test_ancestors_have_no_bound_unless_given(spark):
+    commits = spark.createDataFrame([(f"c{i}", f"c{i - 1}", "parent") for i in range(1, 7)], "source string, target string, relation string")
+    tips = spark.createDataFrame([("c6",)], "id string")
+    assert graph.ancestors.__defaults__ == (None,)
+    assert {r.id for r in graph.ancestors(commits, tips).collect()} == {f"c{i}" for i in range(7)}
+    assert {r.id for r in graph.ancestors(commits, tips, 2).collect()} == {"c6", "c5", "c4"}
+
+
 def test_linker(spark):
     files = spark.createDataFrame([("a", "d.ts", "x\nname: 'tool',\n title: 't',\n type: \"document\""), ("a", "n.ts", "name: 'w', type: 'string'"), ("b", "u.ts", '\n\n*[_type == "tool"]\n*[_type in ["tool", `gadget`]]')], "repo string, path string, text string")
     defs, uses = linker.definitions(files), linker.usages(files)
