@@ -3,13 +3,16 @@
 The keys of a url are its host and parent domains, each with the path's prefixes of the lengths that the rules use; the
 universe is every key of the corpus. Level 1 encodes the listed keys, level 2 those keys of the universe that level 1
 holds wrongly, level 3 the listed keys that level 2 holds wrongly, and so on until a level holds nothing wrongly. The
-first level that lacks a key then answers for every key of the universe exactly, so urls are judged without a join.
+first level that lacks a key then answers for every key of the universe exactly, so urls are judged without a join: one
+join, of the distinct keys with the list, tells the universe's listed keys when the cascade is built.
 
-Each level is a bit array of BITS bits an entry, built in tasks and merged by bitwise or. Levels are broadcast while all
-together stay below MOST_BITS; larger lists are matched by a join on the keys, which gives the same result.
+Each level is a bit array of BITS bits an entry, built in tasks by ranges of WORDS 64-bit words, merged by bitwise or and
+sent to the driver as packed ranges: the bits themselves, not a row for each. Levels are broadcast while all together
+stay below MOST_BITS (32 MB); larger lists are matched by a join on the keys, which gives the same result.
 
 A null url, or one without ``://``, has an empty host and path and no keys; its verdict is the default. An empty rule list
-lets every url have the default. Of equal rules the last listed counts. Rows that repeat are judged each.
+lets every url have the default. Of equal rules the last listed counts. Rows that repeat, and rows without an id, are
+judged each.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.shared import keep
+from lodestack.llm.shared import drop_kept_since, keep, kept_so_far
 from lodestack.llm.text import let, lower_ascii, mix
 
 BITS = 10
 HASHES = 5
 MOST_BITS = 1 << 28
+WORDS = 1 << 12
 LEVELS = 60
 
 
@@ -77,17 +81,30 @@ def listed(levels: list[Level], h: np.ndarray) -> np.ndarray:
 
 
 def _build(number: int, bits: int):
+    """Keys (h) to (range, bits of the range) where a task sets some."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(-(-bits // 8), np.uint8)
+        held = np.zeros(-(-bits // (64 * WORDS)) * WORDS * 8, np.uint8)
         for batch in batches:
             at = _positions(batch.column(0).to_numpy().view(np.uint64), bits, number).ravel()
             np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        where = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), pa.array(held[where].astype(np.int32))], ["at", "byte"])
+        ranges = held.reshape(-1, WORDS * 8)
+        where = np.flatnonzero(ranges.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), pa.array([ranges[i].tobytes() for i in where], pa.binary())], ["at", "part"])
 
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, bits) by bitwise or, within a task that has all rows of its ranges."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(part, np.uint8)
+            held[at] = own | held[at] if at in held else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["at", "part"])
+
+
 def _still(level: Level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +124,10 @@ def cascade(keys: DataFrame, most_bits: int = MOST_BITS) -> list[Level] | None:
         used += bits
         if used > most_bits:
             return None
-        data = np.zeros(-(-bits // 8), np.uint8)
-        for r in inside.mapInArrow(_build(number, bits), "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).collect():  # at most bits / 8 rows
-            data[r["at"]] = r["byte"]
-        level = Level(number, bits, data.tobytes())
+        data = bytearray(-(-bits // (64 * WORDS)) * WORDS * 8)
+        for r in inside.mapInArrow(_build(number, bits), "at long, part binary").repartition("at").mapInArrow(_merge, "at long, part binary").toLocalIterator():  # bits / 8 bytes
+            data[r["at"] * WORDS * 8 : (r["at"] + 1) * WORDS * 8] = r["part"]
+        level = Level(number, bits, bytes(data))
         levels.append(level)
         wrong = keep(outside.mapInArrow(_still(level), "h long"), "bloom-wrong")
         if wrong.isEmpty():
@@ -124,21 +141,24 @@ def _first_listed(levels: list[Level]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hashes = batch.column("keys").to_pylist(), batch.column("hashes")
-            flat = hashes.flatten().to_numpy().view(np.uint64)
-            good, at, out = listed(levels, flat), 0, []
-            for own in keys:
-                out.append(next((k for k, g in zip(own, good[at : at + len(own)], strict=True) if g), None))
-                at += len(own)
+            keys, hashes = batch.column("keys"), batch.column("hashes")
+            flat = keys.flatten()
+            sizes = keys.value_lengths().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(batch)), sizes)
+            good = np.flatnonzero(listed(levels, hashes.flatten().to_numpy().view(np.uint64)))
+            of, first = np.unique(owner[good], return_index=True)
+            at = np.full(len(batch), -1)
+            at[of] = good[first]
+            rule = flat.take(pa.array(at, mask=at < 0)).cast(pa.string())
             rest = [c for c in batch.schema.names if c not in ("keys", "hashes")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.string())], [*rest, "rule"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), rule], [*rest, "rule"])
 
     return run
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], default: str = "allow", most_bits: int = MOST_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict of every row. rules: (host + path prefix, verdict); the longest that fits wins."""
-    spark = pages.sparkSession
+    spark, mark = pages.sparkSession, kept_so_far()
     by_rule = dict(rules)
     lengths = sorted({len(r) - r.find("/") if "/" in r else 0 for r in by_rule})
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -149,11 +169,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], default: str = "al
     every = urls.select(F.explode("keys").alias("k")).select(F.xxhash64("k").alias("h")).distinct()
     universe = keep(every.join(on, "h", "left").select("h", F.coalesce("listed", F.lit(False)).alias("listed")), "bloom-keys")
     levels = cascade(universe, most_bits)
+    drop_kept_since(spark, mark)
     if levels is not None:
         found = urls.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))).mapInArrow(_first_listed(levels), "page_id long, host string, path string, rule string")
     else:
-        ranked = urls.select("*", F.posexplode_outer("keys").alias("at", "key")).join(rows.select(F.col("rule").alias("key"), F.lit(True).alias("on")), "key", "left")
-        found = ranked.groupBy("page_id", "host", "path").agg(F.min_by("key", F.when(F.col("on"), F.col("at"))).alias("rule"))
+        # a row's keys are told apart by its own content, not by a number of the row, which a rerun task could give anew;
+        # equal rows find equal rules
+        named = urls.select("page_id", "host", "path", "keys").distinct()
+        hit = named.select("page_id", "host", "path", F.posexplode("keys").alias("at", "key")).join(rows.select(F.col("rule").alias("key")), "key")
+        best = hit.groupBy("page_id", "host", "path").agg(F.min_by("key", "at").alias("rule")).select(F.col("page_id").alias("_id"), F.col("host").alias("_host"), F.col("path").alias("_path"), "rule")
+        same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))
+        found = urls.join(best, same, "left").select("page_id", "host", "path", "rule")
     if verdicts is not None:
         return found.withColumn("verdict", F.coalesce(F.try_element_at(verdicts, F.coalesce("rule", F.lit(""))), F.lit(default)))
     return found.join(rows, "rule", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -1,11 +1,12 @@
 """LM scoring by subword lattice likelihood.
 
-The pieces are an existing vocabulary file's, with probabilities that start from the file's scores and are re-estimated
-from the training words' expected piece counts (expectation-maximisation over all segmentations). Training words are
-entries of the same unigram vocabulary beside them: a word's count less an absolute discount; what is discounted goes to
-the pieces that spell it. A document's probability is the marginal over every segmentation of its words, whole or
-spelled, by a forward recursion in log space; no piece spans a word break, so the recursion runs once for each distinct
-word of the corpus. Byte pieces make every text possible.
+The pieces and their scores are an existing vocabulary file's. The scores weight all segmentations: a piece's probability
+is the file's, mixed with the share that expectation-maximisation over all segmentations of the training words gives it
+(``FILE_SHARE`` is the file's part, so it stays however large the corpus). Training words are entries of the same unigram
+vocabulary beside the pieces: a word's count less an absolute discount; what is discounted goes to the pieces that spell
+it. A document's probability is the marginal over every segmentation of its words, whole or spelled, by a forward
+recursion in log space; no piece spans a word break, so the recursion runs once for each distinct word of the corpus.
+Byte pieces make every text possible.
 
 Distinct words, with their counts in the training documents, are gathered by a shuffle. The HEAVY_WORDS most frequent
 are looked up where the documents are read; the rest, few of each document's tokens, meet their documents by a join.
@@ -25,14 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.shared import keep
-from lodestack.llm.text import BYTE, BYTE_LOWER, Words, _power_tables, byte_texts, in_chunks, mix
+from lodestack.llm.shared import drop_kept, keep
+from lodestack.llm.text import BASE, BASE_INV, BYTE, BYTE_LOWER, Words, byte_texts, in_chunks, mix, powers
 
 HEAVY_WORDS = 120_000
 ROUNDS = 3
-#: Added to every piece's expected count.
-SMOOTH = 0.1
-CELLS = 1 << 21
+#: The part of the pieces' weight that is shared out by the file's scores; the rest by expected counts.
+FILE_SHARE = 0.2
+CELLS = 1 << 19
+#: Words that a task works on together, so that words of one length are many.
+GROUP = 60_000
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -66,14 +69,26 @@ class Pieces:
         weights = np.array(list(found.values()))[order]
         return cls(keys[order], np.log(weights / weights.sum()), max(map(len, found)))
 
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "logp": self.logp, "longest": self.longest}
+
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash's piece, or -1."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        """Index of each hash's piece, or -1: by a table of the leading bits, and a search where two pieces share those."""
+        if not hasattr(self, "table"):
+            slot = (self.keys >> np.uint64(44)).astype(np.int64)
+            self.table, self.shared = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, bool)
+            self.table[slot] = np.arange(len(slot))
+            self.shared[slot[1:][slot[1:] == slot[:-1]]] = True  # keys are sorted
+        slot = (h >> np.uint64(44)).astype(np.int32)
+        at = self.table[slot]
+        crowded = self.shared[slot]
+        if crowded.any():
+            at[crowded] = np.minimum(np.searchsorted(self.keys, h[crowded]), len(self.keys) - 1)
         return np.where(self.keys[at] == h, at, -1)
 
 
 def _sums(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    power, inverse = _power_tables(rows.shape[1] + 1)
+    power, inverse = powers(BASE, rows.shape[1] + 1), powers(BASE_INV, rows.shape[1] + 1)
     out = np.zeros((rows.shape[0], rows.shape[1] + 1), np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(BYTE[rows] * power[:-1], axis=1, out=out[:, 1:])
@@ -100,44 +115,62 @@ def lattice(rows: np.ndarray, pieces: Pieces, weights: np.ndarray | None = None)
     n, length = rows.shape
     sums, inverse = _sums(rows)
     most = min(pieces.longest, length)
-    found = [pieces.find(_keys_of(sums, inverse, d)) for d in range(1, most + 1)]  # found[d-1][:, i]: piece at i of length d
-    logs = [np.where(f >= 0, pieces.logp[f], -np.inf) for f in found]
+    logp = np.append(pieces.logp, -np.inf)  # -1: no piece
+    found = [pieces.find(_keys_of(sums, inverse, d)).T for d in range(1, most + 1)]  # found[d-1][i]: piece at i of length d
+    logs = [logp[f] for f in found]
     ahead = np.full((length + 1, n), -np.inf)
     ahead[0] = 0
     for j in range(1, length + 1):
-        ahead[j] = _log_sum(np.stack([ahead[j - d] + logs[d - 1][:, j - d] for d in range(1, min(most, j) + 1)]))
+        ahead[j] = _log_sum(np.stack([ahead[j - d] + logs[d - 1][j - d] for d in range(1, min(most, j) + 1)]))
     if weights is None:
         return ahead[length], None
     back = np.full((length + 1, n), -np.inf)
     back[length] = 0
     for i in range(length - 1, -1, -1):
-        back[i] = _log_sum(np.stack([back[i + d] + logs[d - 1][:, i] for d in range(1, min(most, length - i) + 1)]))
-    counts = np.zeros(len(pieces.keys))
-    for d in range(1, most + 1):
-        used = np.exp(ahead[: length + 1 - d].T + logs[d - 1] + back[d:].T - ahead[length][:, None]) * weights[:, None]
-        hit = found[d - 1] >= 0
-        counts += np.bincount(found[d - 1][hit], used[hit], minlength=len(counts))
-    return ahead[length], counts
-
-
-def by_length(words: list[bytes], pieces: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, byte rows) of words of one length, each after a space, few enough to stay small."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        back[i] = _log_sum(np.stack([back[i + d] + logs[d - 1][i] for d in range(1, min(most, length - i) + 1)]))
+    which, used = [], []
+    for d, (f, p) in enumerate(zip(found, logs, strict=True), 1):
+        i, word = np.nonzero(f >= 0)
+        which.append(f[i, word])
+        used.append(np.exp(ahead[i, word] + p[i, word] + back[i + d, word] - ahead[length, word]) * weights[word])
+    return ahead[length], np.bincount(np.concatenate(which), np.concatenate(used), minlength=len(pieces.keys))
+
+
+def by_length(words: pa.Array, pieces: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, byte rows) of binary values of one length, each after a space, few enough to stay small."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(offsets)
     order = np.argsort(sizes, kind="stable")
+    ranked = sizes[order]
     lo = 0
     while lo < len(order):
-        size = sizes[order[lo]]
-        hi = min(np.searchsorted(sizes[order], size, "right"), lo + max(1, CELLS // (size * min(size, pieces.longest))))
+        size = int(ranked[lo]) + 1
+        hi = min(int(np.searchsorted(ranked, size - 1, "right")), lo + max(1, CELLS // (size * min(size, pieces.longest))))
         at = order[lo:hi]
-        yield at, np.frombuffer(b"".join(b" " + words[i] for i in at), np.uint8).reshape(len(at), size)
+        rows = np.full((len(at), size), 32, np.uint8)
+        rows[:, 1:] = data[offsets[at][:, None] + np.arange(size - 1)]
+        yield at, rows
         lo = hi
 
 
+def grouped(batches: Iterator[pa.RecordBatch], most: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``most`` rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(learn, text) to (word, n in training texts, n in all), summed by piece of a batch."""
     for batch in batches:
         learn, texts = batch.column(0).to_numpy(zero_copy_only=False), byte_texts(batch.column(1))
-        for lo, hi in in_chunks(texts, 4 << 20):
+        for lo, hi in in_chunks(texts, 2 << 20):
             w = Words(texts[lo:hi], BYTE_LOWER)
             if not len(w.hashes):
                 continue
@@ -150,9 +183,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _expect(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(pieces.keys))
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            for at, rows in by_length(words, pieces):
+        for batch in grouped(batches):
+            for at, rows in by_length(batch.column(0), pieces):
                 sums += lattice(rows, pieces, np.ones(len(at)))[1]
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(sums[seen])], ["piece", "n"])
@@ -162,14 +194,13 @@ def _expect(pieces: Pieces):
 
 def _marginals(pieces: Pieces, discount: float, total: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            out = np.empty(len(words))
-            for at, rows in by_length(words, pieces):
-                whole = np.maximum(batch.column(1).to_numpy()[at] - discount, 0) / total
+        for batch in grouped(batches):
+            out, keys, c = np.empty(len(batch)), np.empty(len(batch), np.uint64), batch.column(1).to_numpy()
+            for at, rows in by_length(batch.column(0), pieces):
+                whole = np.maximum(c[at] - discount, 0) / total
                 with np.errstate(divide="ignore"):
                     out[at] = np.logaddexp(np.log(whole), lattice(rows, pieces)[0])
-            keys = Words([b" ".join(words)], BYTE_LOWER).hashes if words else np.zeros(0, np.uint64)
+                keys[at] = _keys_of(*_sums(rows[:, 1:]), rows.shape[1] - 1)[:, 0]  # as Words has it
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns[1:], pa.array(out)], ["h", "c", "n", "logp"])
 
     return run
@@ -181,14 +212,15 @@ def train(words: DataFrame, ends: int, pieces: Pieces, rounds: int = ROUNDS) ->
     known = words.select("word", "c").filter("c > 0")
     one, two, distinct, tokens = known.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     discount = min(0.9, max(0.1, one / (one + 2 * two))) if one + two else 0.5
-    total = 1.0
+    total, by_file = 1.0, np.exp(pieces.logp)
     for _ in range(rounds if distinct else 0):
-        counts = np.full(len(pieces.keys), SMOOTH)
+        counts = np.zeros(len(pieces.keys))
         for r in known.select("word").mapInArrow(_expect(pieces), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
             counts[r["piece"]] += discount * r["n"]
+        counts = (1 - FILE_SHARE) * counts + FILE_SHARE * counts.sum() * by_file
         total = tokens - discount * distinct + counts.sum() + ends
         pieces = Pieces(pieces.keys, np.log(counts / total), pieces.longest)
-    return pieces, discount, total, float(np.log(max(ends, SMOOTH) / max(total, 1.0)))
+    return pieces, discount, total, float(np.log(max(ends, 0.1) / max(total, 1.0)))
 
 
 def _score(keys: np.ndarray, c: np.ndarray, logp: np.ndarray):
@@ -201,7 +233,7 @@ def _score(keys: np.ndarray, c: np.ndarray, logp: np.ndarray):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = byte_texts(batch.column(2))
-            for lo, hi in in_chunks(texts, 4 << 20):
+            for lo, hi in in_chunks(texts):
                 w, k = Words(texts[lo:hi], BYTE_LOWER), hi - lo
                 at = np.minimum(np.searchsorted(keys, w.hashes), max(0, len(keys) - 1))
                 at = np.where(keys[at] == w.hashes, at, len(c)) if len(keys) else np.full(len(w.hashes), len(c))
@@ -252,6 +284,7 @@ def score(docs: DataFrame, vocabulary: str, parts: int = 7, part: int = 2) -> Da
     pieces, discount, mass, end = train(words, ends, Pieces.from_file(vocabulary))
     scored = keep(words.mapInArrow(_marginals(pieces, discount, mass), "h long, c long, n long, logp double"), "lm-scored")
     heavy = _most_frequent(scored, HEAVY_WORDS).toPandas()
+    drop_kept(words)
     keys = heavy["h"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(keys)
     parts_of = keep(

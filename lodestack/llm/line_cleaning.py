@@ -3,14 +3,17 @@
 Each line with a word is tested by punctuation, navigation and boilerplate rules; failing lines are removed and
 a document that loses too large a share of its words is rejected, as is one that fails the whole-text rules.
 
+A line fails if it has no sentence end; if it shouts (three runs of signs); if it is a chain of links (two separators or
+more that do not quote, one for every NAVIGATION_WORDS words at least) or a short line that begins with a link word; or
+if it holds a stock phrase for every BOILERPLATE_WORDS of its words. So one mention in a line of prose removes nothing.
+Words and phrases are English, German, French and Spanish.
+
 Null or empty text: no words, ``base_failed`` true, not kept. Repeated rows are judged each. Extra columns pass
 through unchanged; columns of the same names as the added ones are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +24,39 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
-#: Rules of a line, by name: a line that matches one of them is removed.
+#: Rules of a line. Of the navigation rules, a chain holds a separator for every so many words, and a line that begins
+#: with a link word has at most so many; a line of boilerplate holds a phrase for every so many words.
 SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
 SHOUTING = r"([!?#*$%&]{2,}[^!?#*$%&]*){3}"
-NAVIGATION = r"(\|.*\|)|([»›•·>].*[»›•·>])|^(home|menu|login|log in|sign up|sign in|search|next|previous|back to top|read more|skip to content)\b"
-BOILERPLATE = r"\b(cookies?|javascript|terms of (use|service)|privacy policy|all rights reserved|licensed under|released under|copyright|subscribe to|click here|lorem ipsum)\b|©"
-
-#: For ``dense_line_fails``: a line fails if it holds a match for every so many of its words.
+SEPARATORS = "»›•·>|"
 NAVIGATION_WORDS = 8
+LINK_LINE_WORDS = 3
 BOILERPLATE_WORDS = 16
-SEPARATOR = "[»›•·>|]"
-QUOTED = r"«([^«»]*)»", r"»([^«»]*)«", r"‹([^‹›]*)›", r"›([^‹›]*)‹"
+#: Pairs of signs that quote what is between them.
+QUOTES = "«»", "»«", "‹›", "›‹"
+LINK_WORDS = (
+    "home", "menu", "login", "log in", "sign up", "sign in", "search", "next", "previous", "back to top", "read more", "skip to content",
+    "startseite", "menü", "anmelden", "registrieren", "suche", "weiter", "zurück", "mehr lesen", "weiterlesen", "zum inhalt",
+    "accueil", "connexion", "s'inscrire", "rechercher", "suivant", "précédent", "retour", "lire la suite", "aller au contenu",
+    "inicio", "menú", "iniciar sesión", "registrarse", "buscar", "siguiente", "anterior", "volver", "leer más", "ir al contenido",
+)
+PHRASES = (
+    "we use cookies", "use of cookies", "accept cookies", "accept all cookies", "cookie policy", "enable javascript", "javascript is disabled", "javascript is required", "requires javascript",
+    "terms of use", "terms of service", "privacy policy", "all rights reserved", "licensed under the", "released under the", "copyright notice",
+    "subscribe to our", "click here", "lorem ipsum", "©", "copyright (c)", "copyright 1", "copyright 2",
+    "wir verwenden cookies", "cookie-richtlinie", "javascript aktivieren", "nutzungsbedingungen", "datenschutzerklärung", "alle rechte vorbehalten", "newsletter abonnieren", "hier klicken",
+    "nous utilisons des cookies", "utilisation de cookies", "activer javascript", "conditions d'utilisation", "politique de confidentialité", "tous droits réservés", "abonnez-vous à", "cliquez ici",
+    "utilizamos cookies", "uso de cookies", "activar javascript", "términos de uso", "condiciones de uso", "política de privacidad", "todos los derechos reservados", "suscríbete a", "haga clic aquí",
+)
+
+
+def any_of(values: tuple[str, ...]) -> str:
+    """Alternatives of a pattern. The values hold no signs that patterns use but round brackets."""
+    return "|".join(v.replace("(", r"\(").replace(")", r"\)") for v in values)
+
+
+BEGINS_WITH_LINK = rf"^[\x20\x09-\x0D]*({any_of(LINK_WORDS)})([^\p{{L}}\p{{N}}]|$)"
+PHRASE = rf"(^|[^\p{{L}}\p{{N}}])({any_of(PHRASES)})"
 
 
 def repeated_words(words: Column) -> Column:
@@ -54,69 +79,61 @@ def repeated_words(words: Column) -> Column:
     return let(windows, of_windows).cast("long")
 
 
-def line_fails(line: Column) -> Column:
-    low = F.lower(line)
-    return ~line.rlike(SENTENCE_END) | line.rlike(SHOUTING) | low.rlike(NAVIGATION) | low.rlike(BOILERPLATE)
+def _n_words(line: Column) -> Column:
+    return F.size(words_of(line))
 
 
-def dense_line_fails(line: Column) -> Column:
-    """As ``line_fails``, but navigation and boilerplate fail a line only by matches as dense as there: signs that quote
-    are none, and a mention in a line of prose removes nothing."""
+def _n_separators(line: Column) -> Column:
+    return F.length(line) - F.length(F.translate(line, SEPARATORS, ""))
 
-    def of_lower(low: Column) -> Column:
-        plain = low
-        for pair in QUOTED:
-            plain = F.regexp_replace(plain, pair, "$1")
-        navigation = let(plain, lambda p: p.rlike(NAVIGATION) & (NAVIGATION_WORDS * F.greatest(F.regexp_count(p, F.lit(SEPARATOR)), F.lit(1)) >= _n_words(p)))
-        return (low.rlike(NAVIGATION) & navigation) | (low.rlike(BOILERPLATE) & (BOILERPLATE_WORDS * F.regexp_count(low, F.lit(BOILERPLATE)) >= _n_words(low)))
 
-    return ~line.rlike(SENTENCE_END) | line.rlike(SHOUTING) | let(F.lower(line), of_lower)
+def _is_chain(line: Column) -> Column:
+    plain = line
+    for left, right in QUOTES:
+        plain = F.regexp_replace(plain, f"{left}([^{left}{right}]*){right}", "$1")
+    return let(_n_separators(plain), lambda n: (n >= 2) & (NAVIGATION_WORDS * n >= _n_words(line)))
 
 
-def _n_words(line: Column) -> Column:
-    return F.size(words_of(line))
+def line_fails(line: Column, low: Column) -> Column:
+    """Whether a line, also given lower-cased, fails a rule."""
+    chain = F.when(_n_separators(line) >= 2, _is_chain(line)).otherwise(False)
+    link = F.when(low.rlike(BEGINS_WITH_LINK), _n_words(line) <= LINK_LINE_WORDS).otherwise(False)
+    stock = F.when(low.rlike(PHRASE), BOILERPLATE_WORDS * F.regexp_count(low, F.lit(PHRASE)) >= _n_words(line)).otherwise(False)
+    return ~line.rlike(SENTENCE_END) | line.rlike(SHOUTING) | chain | link | stock
 
 
-def clean_lines(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, text: str = "text", fails: Callable[[Column], Column] = line_fails) -> DataFrame:
+def clean_lines(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, text: str = "text") -> DataFrame:
     """``docs`` with the measures of each text, ``cleaned`` (the text without its failing lines) and ``kept``.
 
     kept: false if base_failed, or if the removed lines hold more than ``max_lost_percent`` of the words.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    measured = docs.withColumn(
-        "_m",
-        let(
-            words_of(body),
-            lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("word_chars")),
-        ),
-    ).withColumn(
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x, F.lower(x)).alias("fails")))
+    measured = docs.withColumn("_m", let(words_of(body), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))).withColumn(
         "_l",
         let(
-            lines,
-            lambda ls: let(
-                F.filter(ls, lambda x: ~fails(x)),
-                lambda good: F.struct(
-                    (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-                    (F.size(ls) - F.size(good)).cast("long").alias("n_failed_lines"),
-                    F.aggregate(good, F.lit(0), lambda a, x: a + _n_words(x)).cast("long").alias("kept_words"),
-                    F.array_join(good, "\n").alias("cleaned"),
-                ),
+            judged,
+            lambda ls: F.struct(
+                (F.size(ls) - F.size(F.array_distinct(F.transform(ls, lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
+                F.size(F.filter(ls, lambda x: x["fails"])).cast("long").alias("n_failed_lines"),
+                F.aggregate(ls, F.lit(0), lambda a, x: a + F.when(x["fails"], _n_words(x["line"])).otherwise(0)).cast("long").alias("lost_words"),
+                F.array_join(F.transform(F.filter(ls, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("cleaned"),
             ),
         ),
     )
-    n = F.col("_m.n_words")
+    n, lost = F.col("_m.n_words"), F.col("_l.lost_words")
     failed = (n < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > MAX_REPEAT_PERCENT * n)
     added = {
         "n_words": n,
-        "word_chars": F.col("_m.word_chars"),
+        "word_chars": F.length(F.translate(body, WHITE, "")).cast("long"),
         "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": F.col("_l.n_dup_lines"),
         "n_repeat_words": F.col("_m.n_repeat_words"),
         "n_failed_lines": F.col("_l.n_failed_lines"),
-        "kept_words": F.col("_l.kept_words"),
+        "kept_words": n - lost,
         "cleaned": F.col("_l.cleaned"),
         "base_failed": failed,
-        "kept": ~failed & (100 * (n - F.col("_l.kept_words")) <= max_lost_percent * n),
+        "kept": ~failed & (100 * lost <= max_lost_percent * n),
     }
     return measured.withColumns(added).drop("_m", "_l")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import components
-from lodestack.llm.shared import drop_kept, keep
+from lodestack.llm.shared import drop_kept, drop_kept_since, keep, kept_so_far
 from lodestack.llm.text import BYTE_LOWER, Words, _splitmix, byte_texts, in_chunks, mix
 
 SHINGLE = 5
@@ -263,12 +263,13 @@ def _crowded_pairs(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFram
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least id it reaches by links), kept."""
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, kept_so_far()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = keep(texts.mapInArrow(_describe, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "mh-sets")
     rows = described.drop("sig")
-    real = rows.filter("n_shingles > 0 and doc_id is not null")
-    sets = keep(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "mh-reps")
+    is_real = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    real = rows.filter(is_real)
+    sets = keep(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("n")), "mh-reps")
     reps = _representatives(described, sets)
 
     often = reps.select("sig").mapInArrow(_often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_LEAST)
@@ -299,9 +300,10 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     rest = rest.join(stars, ["a", "b"], "left_anti")
     second = _links(keep(rest, "mh-rest"), reps, texts, percent)
     found = keep(components(first.unionByName(second)), "mh-components")
-    drop_kept(shared, lists, stars, placed, left, joined, first, second)
-
-    by_set = keep(sets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component")), "mh-classes")
-    return rows.join(by_set, ["h1", "h2"], "left").select(
-        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # documents of a set of their own that nothing links are their own class: only the others are joined
+    by_set = sets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("component is not null or rep < last")
+    by_set = keep(by_set.select("h1", "h2", F.coalesce("component", "rep").alias("component")), "mh-classes")
+    drop_kept_since(spark, mark, described, by_set)
+    classed = real.join(by_set, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    alone = rows.filter(~F.coalesce(is_real, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return classed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

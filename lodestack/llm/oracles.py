@@ -18,9 +18,14 @@ grams AS (SELECT doc_id, k, w[k:k + 2] AS g FROM d, unnest(generate_series(1, le
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
   SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
-judged AS (SELECT doc_id, l, len(regexp_extract_all(l, '{WORD}')) AS n,
-  NOT (NOT regexp_matches(l, {quoted(lc.SENTENCE_END)}) OR regexp_matches(l, {quoted(lc.SHOUTING)}) OR regexp_matches(lower(l), {quoted(lc.NAVIGATION)}) OR regexp_matches(lower(l), {quoted(lc.BOILERPLATE)})) AS good
+worded AS (SELECT doc_id, l, lower(l) AS low, len(regexp_extract_all(l, '{WORD}')) AS n,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '«([^«»]*)»', '\\1', 'g'), '»([^«»]*)«', '\\1', 'g'), '‹([^‹›]*)›', '\\1', 'g'), '›([^‹›]*)‹', '\\1', 'g') AS bare
   FROM lines WHERE regexp_matches(l, '{WORD}')),
+judged AS (SELECT doc_id, l, n, regexp_matches(l, {quoted(lc.SENTENCE_END)}) AND NOT regexp_matches(l, {quoted(lc.SHOUTING)})
+  AND NOT (len(regexp_extract_all(bare, '[{lc.SEPARATORS}]')) >= 2 AND {lc.NAVIGATION_WORDS} * len(regexp_extract_all(bare, '[{lc.SEPARATORS}]')) >= n)
+  AND NOT (n <= {lc.LINK_LINE_WORDS} AND list_any_value(list_filter([{", ".join(quoted(w) for w in lc.LINK_WORDS)}], lambda w: starts_with(ltrim(low, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), w)
+    AND NOT regexp_matches(substr(ltrim(low, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), length(w) + 1, 1), '[\\p{{L}}\\p{{N}}]'))) IS NOT NULL)
+  AND NOT {lc.BOILERPLATE_WORDS} * len(regexp_extract_all(low, {quoted(lc.PHRASE)})) >= n AS good FROM worded),
 by_doc AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (NOT good) AS n_failed_lines, coalesce(sum(n) FILTER (good), 0)::BIGINT AS kept_words FROM judged GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '{lc.SYMBOLS}', '')))::BIGINT AS n_symbols,
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(kept_words, 0)::BIGINT AS kept_words

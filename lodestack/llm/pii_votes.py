@@ -30,17 +30,19 @@ ROUNDS = 25
 STRICT = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    # a whole run of digits, with single spaces or hyphens between them, that has 12 to 19
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A text without a match of these has none of the pattern.
-HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
+HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 LOOSE = {
     "email": r"[A-Za-z0-9._%+-]++ ?[\[({]at[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({]dot[\])}] ?| dot )[A-Za-z0-9-]++)++|[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ip": r"(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:])",
+    "card": r"(?<![0-9./_])[0-9]{4}(?<sep>[./_]|\x20{2,3}|\x20-\x20)[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{1,7}(?![0-9./_])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
 }
-LOOSE_HINT = {"email": r"[\[({]at[\])}]| dot ", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f]", "phone": "[0-9][ .-][0-9]"}
+LOOSE_HINT = {"email": r"[\[({]at[\])}]| dot ", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f:]", "card": r"[0-9]{4}[./_\x20]", "phone": "[0-9][ .-][0-9]"}
 
 #: Gazetteers and cue words.
 DOMAINS = "com|org|net|edu|gov|info|io|co|de|fr|es|it|nl|uk|eu|us|ch|at|example"
@@ -54,21 +56,46 @@ COUNTER_CUES = r"version|isbn|order|invoice|serial|figure|table|page|password|\b
 AROUND = 32
 
 
+#: Matches whose offsets one fold appends: folds copy what they append to, so long lists go by blocks of so many.
+BLOCK = 128
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def _upto(sizes: Column) -> Column:
+    """Running sums of an array of integers."""
+    return F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0)) + n)))
+
+
 def _matches(text: Column, pattern: str, hint: str) -> Column:
     """array<struct<start, end, value>> of a pattern's matches, from the lengths of the gaps between them."""
+
+    def of_steps(steps: Column) -> Column:
+        # steps: (gap, value) of every match; each block's total is summed first, and then the offsets within the block
+        size = lambda s: s["gap"] + F.length(s["value"])
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
+
+        def of_blocks(blocks: Column) -> Column:
+            totals = _upto(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, s: a + size(s))))
+
+            def of_totals(totals: Column) -> Column:
+                def of_block(block: Column, k: Column) -> Column:
+                    before = F.when(k > 0, F.get(totals, k - 1)).otherwise(0)
+                    return let(
+                        _upto(F.transform(block, size)),
+                        lambda ends: F.transform(block, lambda s, i: F.struct((before + F.get(ends, i) - F.length(s["value"])).alias("start"), (before + F.get(ends, i)).alias("end"), s["value"].alias("value"))),
+                    )
+
+                return F.flatten(F.transform(blocks, of_block))
+
+            return let(totals, of_totals)
+
+        return F.when(F.size(steps) > 0, let(blocks, of_blocks)).otherwise(F.array().cast(SPANS))
+
     found = let(
         F.split(text, pattern, -1),
-        lambda gaps: F.aggregate(
-            F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("value"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-            lambda a, m: F.struct(
-                (a["at"] + m["gap"] + F.length(m["value"])).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + m["gap"]).alias("start"), (a["at"] + m["gap"] + F.length(m["value"])).alias("end"), m["value"].alias("value")))).alias("out"),
-            ),
-            lambda a: a["out"],
-        ),
+        lambda gaps: let(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("value"))), of_steps),
     )
-    return F.when(text.rlike(hint), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return F.when(text.rlike(hint), found).otherwise(F.array().cast(SPANS))
 
 
 def _digits(value: Column) -> Column:
@@ -193,7 +220,8 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
         return F.transform(spans, lambda s: _described(F.col("body"), s, kind, F.lit(is_strict)))
 
     described = [described_all(F.col(k), k, True) for k in KINDS]
-    described += [described_all(F.filter(f"loose_{k}", lambda s: apart(s, every)), k, False) for k in LOOSE]
+    fits = lambda k, s: _valid(k, s["value"]) if k == "card" else F.lit(True)
+    described += [described_all(F.filter(f"loose_{k}", lambda s: fits(k, s) & apart(s, every)), k, False) for k in LOOSE]
     rows = keep(hits.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*described).alias("spans")), "pii-spans")
     order = F.array(*map(F.lit, KINDS))
     placed = lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("kind_at"), s["end"].alias("end"), s["kind"].alias("kind"))

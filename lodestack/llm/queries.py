@@ -24,7 +24,7 @@ def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def op3_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op3_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return out.select("doc_id", *map(count, pii_votes.KINDS), F.sha2(pii_votes.written(F.col("base")), 256).alias("base_sha256"), pii_votes.written(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *map(count, pii_votes.KINDS), F.sha2(pii_votes.written(F.col("base")), 256).alias("base_sha256"), pii_votes.written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,9 @@ Two copies of a passage of n words are cut alike from at most its word LONGEST (
 n - LONGEST. With 2 * LONGEST + RUN_WORDS <= 50 and RUN * LONGEST <= RUN_WORDS, all copies of over 50 words share a run,
 whatever stands around them.
 
-Null, empty and blank texts have no sentences. Rows that repeat an id count as one document; rows without an id are left
-alone and make nothing else a repeat. Extra columns pass through ``remove_repeats``.
+Null, empty and blank texts have no sentences. Rows that repeat an id and a text count as one document; of rows that
+repeat an id with other texts the one of the least text hash comes first. Rows without an id are left alone and make
+nothing else a repeat. Extra columns pass through ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.shared import keep
+from lodestack.llm.shared import drop_kept_since, keep, kept_so_far
 from lodestack.llm.text import BASE, BASE_INV, BYTE, Words, byte_texts, in_chunks, mix
 
 RUN = 3
@@ -108,7 +109,7 @@ class Sentences:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(), byte_texts(batch.column(1))
+        ids, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), byte_texts(batch.column(2))
         for lo, hi in in_chunks(texts):
             text, first, stop, h = Sentences(texts[lo:hi]).runs()
             again = np.ones(len(h), bool)  # the text holds the run before
@@ -116,18 +117,32 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(h):
                 again[order[0]] = False
                 again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][text]), pa.array(first), pa.array(stop), pa.array(again)], ["h", "doc_id", "first", "stop", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][text]), pa.array(keys[lo:hi][text]), pa.array(first), pa.array(stop), pa.array(again)], ["h", "doc_id", "key", "first", "stop", "again"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text) of the rows with an id; key: a hash of the text."""
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, stop, first_id): runs that are not the first of their kind; first_id: the document of the first."""
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    runs = texts.mapInArrow(_runs, "h long, doc_id long, first long, stop long, again boolean")
+    """(doc_id, key, first, stop, first_id): runs that are not the first of their kind; key: hash of the text that holds
+    the run; first_id: the document of the first."""
+    texts = _keyed(docs)
+    runs = texts.mapInArrow(_runs, "h long, doc_id long, key long, first long, stop long, again boolean")
     # a repeat within its own document needs no join; of the others the first document of each run is enough
-    places = runs.filter("not again").select("h", "doc_id", "first", "stop")
+    places = runs.filter("not again").select("h", "doc_id", "key", "first", "stop")
     least = keep(places.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("h", "first_id"), "span-firsts")
-    far = places.join(least, "h").filter("doc_id <> first_id").select("doc_id", "first", "stop", "first_id")
-    return far.unionByName(runs.filter("again").select("doc_id", "first", "stop", F.col("doc_id").alias("first_id")))
+    out = places.join(least, "h").filter("doc_id <> first_id").select("doc_id", "key", "first", "stop", "first_id")
+    out = out.unionByName(runs.filter("again").select("doc_id", "key", "first", "stop", F.col("doc_id").alias("first_id")))
+    # ids of several texts: among those the one of the least key comes first
+    several = keep(texts.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("doc_id"), "span-several")
+    if several.isEmpty():
+        return out
+    own = places.join(several, "doc_id", "left_semi")
+    least = own.groupBy("h", "doc_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).filter("first_key < last_key").select("h", "doc_id", "first_key")
+    near = own.join(least, ["h", "doc_id"]).filter("key <> first_key")
+    return out.unionByName(near.select("doc_id", "key", "first", "stop", F.col("doc_id").alias("first_id")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +166,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*rest, "text", "n_sentences", "n_removed"])
 
 
+def _changed(docs: DataFrame) -> DataFrame:
+    mark = kept_so_far()
+    by_doc = keep(repeated_runs(docs).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "stop")).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_ids")), "span-cuts")
+    drop_kept_since(docs.sparkSession, mark, by_doc)
+    rows = by_doc.join(_keyed(docs), ["doc_id", "key"]).select("doc_id", "key", "first_ids", "text", "spans")
+    return rows.mapInArrow(_cut, "doc_id long, key long, first_ids array<long>, text string, n_sentences long, n_removed long")
+
+
 def changed_documents(docs: DataFrame) -> DataFrame:
     """The documents that lose sentences: doc_id, first_ids (documents that hold the first copies), text (what is
     left), n_sentences, n_removed."""
-    by_doc = keep(repeated_runs(docs).groupBy("doc_id").agg(F.collect_set(F.struct("first", "stop")).alias("spans"), F.array_sort(F.collect_set("first_id")).alias("first_ids")), "span-cuts")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return by_doc.join(texts, "doc_id").select("doc_id", "first_ids", "text", "spans").mapInArrow(_cut, "doc_id long, first_ids array<long>, text string, n_sentences long, n_removed long")
+    return _changed(docs).drop("key")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """All documents, those of ``changed_documents`` with what is left of their texts."""
-    new = changed_documents(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
-    out = docs.join(new, F.col("doc_id") == F.col("_id"), "left")
+    new = _changed(docs).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("text").alias("_text")).dropDuplicates(["_id", "_key"])
+    out = docs.join(new, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")), "left")
     return out.withColumn("text", F.coalesce("_text", "text")).select(*docs.columns)

@@ -10,13 +10,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
+_run = uuid.uuid4().hex
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (local tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="lodestack-"))
     return _fallback[0]
@@ -33,22 +37,45 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` once and read it back: later plans start from the files, so no lineage is recomputed
-    and a lost executor costs nothing already written."""
+    and a lost executor costs nothing already written. rows_a_file: at most so many (0: no bound)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/lodestack/{_run}/{name}-{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    _made.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_kept(*frames: DataFrame) -> None:
     """Delete tables that ``keep`` wrote and that no returned DataFrame still reads."""
     for df in frames:
         path = getattr(df, "_kept_at", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+def kept_so_far() -> int:
+    return len(_made)
+
+
+def drop_kept_since(spark: SparkSession, mark: int, *but: DataFrame) -> None:
+    """Delete the tables that ``keep`` wrote since ``mark = kept_so_far()``, but for those that are still read."""
+    read = {df._kept_at for df in but}
+    for path in _made[mark:]:
+        if path not in read:
+            _delete(spark, path)
+    _made[mark:] = [p for p in _made[mark:] if p in read]
+
+
+def drop_all_kept(spark: SparkSession) -> None:
+    """Delete every table that ``keep`` wrote in this process: for the end of a job, when its results are stored. Results
+    are lazy and read such tables, so operators delete only what their result no longer reads."""
+    _delete(spark, f"{shared_dir(spark)}/lodestack/{_run}")

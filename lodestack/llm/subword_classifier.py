@@ -2,11 +2,11 @@
 
 Words and character n-grams are hashed into BUCKETS rows of a table of learned vectors; a document is the average of
 its vectors, and a softmax of that average gives its classes. Trained by stochastic gradient descent in numpy on at most
-``FIT_ROWS`` labelled documents, the ones of least hash; scored on every whole text. As the softmax is linear in the
+``FIT_ROWS`` labelled documents of ``FIT_BYTES`` together, the ones of least hash; scored on every whole text. As the softmax is linear in the
 average, a bucket's part of the score is one number, and executors need a table of BUCKETS of them, whatever the corpus.
 
-Null and empty texts have no features and get the bias alone. A document labelled more than once counts each time; null
-labels are not learned from; with no labelled rows, or one class only, the score is that class's share (0.5 for none).
+Null and empty texts have no features and get the bias alone. A document labelled more than once, and each row of a
+repeated id, counts each time, within the bounds; null labels are not learned from; with no labelled rows, or one class only, the score is that class's share (0.5 for none).
 Rows that repeat an id are scored each. Extra columns are not read.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.lattice_lm import held_out
@@ -25,7 +25,7 @@ from lodestack.llm.text import BASE, BASE_INV, byte_texts, in_chunks, mix
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
 DIMENSIONS = 8
-FIT_ROWS = 4_000
+FIT_ROWS, FIT_BYTES = 4_000, 16 << 20
 EPOCHS = 6
 RATE = 0.5
 
@@ -65,13 +65,13 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _for_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, distinct buckets, their share of the document)."""
+    """(label, text, times) to (label, distinct buckets, their share of the document, times)."""
     for batch in batches:
         texts = byte_texts(batch.column(1))
         for i, t in enumerate(texts):
             values, counts = np.unique(features([t])[0], return_counts=True)
             share = (counts / max(1, counts.sum())).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([values.astype(np.int32).tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())], ["label", "buckets", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([values.astype(np.int32).tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary()), batch.column(2).slice(i, 1)], ["label", "buckets", "share", "times"])
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -117,13 +117,21 @@ def _apply(parts: np.ndarray, bias: float):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, fit_rows: int = FIT_ROWS, parts: int = 4, part: int = 2) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, parts: int = 4, part: int = 2) -> DataFrame:
     """One row a document: doc_id, held_out, score (of label 1), predicted. Rows held out are never learned from."""
     ids = F.col("doc_id").cast("long").alias("doc_id")
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), parts, part)).select(ids, F.col(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_rows)
-    sample = docs.select(ids, "text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most fit_rows rows of two numbers
-    got = sample.mapInArrow(_for_fit, "label int, buckets binary, share binary").collect()
+    sample = docs.select(ids, "text").join(F.broadcast(chosen), "doc_id")  # at most fit_rows rows of two numbers
+    # an id may repeat in documents: the bounds hold for the joined rows, by numbers alone
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.col("label"), F.col("key")
+    sample = sample.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sizes = sample.select("doc_id", "label", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).orderBy(*order).limit(fit_rows)
+    upto = sizes.withColumn("upto", F.sum("size").over(Window.orderBy(*order))).filter(F.col("upto") <= fit_bytes)
+    listed = upto.groupBy("doc_id", "label", "key").agg(F.count(F.lit(1)).alias("times"))
+    one = sample.join(F.broadcast(listed), ["doc_id", "label", "key"]).dropDuplicates(["doc_id", "label", "key"])
+    got = one.select("label", "text", "times").mapInArrow(_for_fit, "label int, buckets binary, share binary, times long").collect()
+    got = [r for r in got for _ in range(r["times"])]
     rows = sorted(((r["label"], bytes(r["buckets"]), bytes(r["share"])) for r in got), key=lambda x: (x[1], x[2], x[0]))
     weights, bias = fit([(y, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for y, b, s in rows])
     out = docs.select(ids, held_out(F.col("doc_id"), parts, part).alias("held_out"), "text").mapInArrow(_apply(weights.astype(np.float64), bias), "doc_id long, held_out boolean, score double")

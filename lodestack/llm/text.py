@@ -60,29 +60,60 @@ IS_WHITE = np.zeros(256, bool)
 IS_WHITE[[32, 9, 10, 11, 12, 13]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, b in ((0, BASE), (1, BASE_INV)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers, from 0, of a 64-bit number."""
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+#: Words of up to so many bytes are hashed together; longer ones, should there be any, one by one.
+_LONG_WORD = 1 << 12
+_POWERS = powers(BASE, _LONG_WORD)
+#: Bytes of words hashed at once: the arrays for it take some 50 bytes each.
+_AT_ONCE = 1 << 18
+
+
+def _hash_of_long(values: np.ndarray) -> np.uint64:
+    """Sum of values[k] * BASE**k, by pieces."""
+    total = np.uint64(0)
     with np.errstate(over="ignore"):
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        for lo in range(0, len(values), _LONG_WORD):
+            part = values[lo : lo + _LONG_WORD]
+            total += (part * _POWERS[: len(part)]).sum() * np.uint64(pow(BASE, lo, 1 << 64))
+    return total
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """64 bits of each span of bytes: the sum of table[byte] * BASE**place, mixed with the length."""
+    sizes = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    long = np.flatnonzero(sizes > _LONG_WORD)
+    for i in long:
+        out[i] = _hash_of_long(table[data[starts[i] : ends[i]]])
+    short = np.flatnonzero(sizes <= _LONG_WORD) if len(long) else np.arange(len(starts))
+    upto = np.cumsum(sizes[short])
+    lo = 0
+    while lo < len(short):
+        before = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + _AT_ONCE, "right")))
+        at, size = starts[short[lo:hi]], sizes[short[lo:hi]]
+        first = upto[lo:hi] - size - before
+        place = np.arange(upto[hi - 1] - before) - np.repeat(first, size)
+        with np.errstate(over="ignore"):
+            out[short[lo:hi]] = np.add.reduceat(table[data[np.repeat(at, size) + place]] * _POWERS[place], first)
+        lo = hi
+    with np.errstate(over="ignore"):
+        return mix(out + sizes.astype(np.uint64))
 
 
 class Words:
     """The words of a list of UTF-8 texts laid end to end, a newline after each.
 
     starts, ends: byte positions of each word; doc: index of its text; hashes: 64 bits a word;
-    first, last: word range of each text.
+    first, last: word range of each text. Some 10 bytes for each byte of text, so a long text can stand alone.
     """
 
     def __init__(self, texts: list[bytes], table: np.ndarray = BYTE, white: np.ndarray = IS_WHITE) -> None:
@@ -91,17 +122,15 @@ class Words:
         inside = np.zeros(len(self.bytes) + 1, np.int8)
         inside[1:] = ~white[self.bytes]
         step = np.diff(inside)
+        del inside
         self.starts, self.ends = self.bounds(np.flatnonzero(step == 1), np.flatnonzero(step == -1))
+        del step
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begins = np.concatenate([[0], np.cumsum(lengths + 1)])
         bounds = np.searchsorted(self.starts, self.begins)
         self.first, self.last = bounds[:-1], bounds[1:]
         self.doc = np.repeat(np.arange(len(texts)), self.last - self.first)
-        power, self.inverse = _power_tables(len(self.bytes) + 1)
-        self.sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(table[self.bytes] * power[:-1], out=self.sums[1:])
-        self.hashes = span_hashes(self.sums, self.starts, self.ends, self.inverse)
+        self.hashes = hash_spans(self.bytes, self.starts, self.ends, table)
 
     def bounds(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begins and ends of what is taken as words; here the runs between white space."""

@@ -8,8 +8,9 @@ A dataset is a folder: ``segments`` (Parquet, one row a run of documents: file,
 documents' ids and lengths, control bytes, data bytes) in ascending doc_id order over the files, and ``ranks`` (rank,
 id). Spark's writer commits it, so a lost task leaves nothing behind and is run again.
 
-Null and empty texts give the end id alone. Rows that repeat an id are documents of their own, ordered by text; a null
-id comes first. Extra columns are not read.
+Null and empty texts give the end id alone. Rows that repeat an id are documents of their own, ordered by a hash of the
+text and the text; null ids come first. Files are cut by range of (id, hash of text), so one id may fill several. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from lodestack.llm.text import BYTE_LOWER, IS_WHITE, Words, byte_texts, in_chunk
 
 END_ID = 1
 #: Bytes of text a segment is cut at.
-SEGMENT_BYTES = 2 << 20
-BYTES_A_FILE = 32 << 20
+SEGMENT_BYTES = 1 << 20
+#: Tasks of about so many bytes of text, but not more than so many tasks; a task's files hold so many segments at most.
+BYTES_A_TASK, MOST_TASKS, SEGMENTS_A_FILE = 32 << 20, 20_000, 64
 #: Words whose ids a worker remembers before it starts anew; it bounds memory and changes no result.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_000_000
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -60,7 +62,7 @@ class Tokens:
 
     The tokenizer drops white space, folds case and splits letters from punctuation before it merges, so a text's ids
     are its words' ids in order; a final full stop or comma after an ASCII letter is a word of its own. Words that may
-    hold a special token are never folded. The memory is sorted arrays: 30 bytes a word.
+    hold a special token are never folded. The memory is sorted arrays: some 20 bytes a word.
     """
 
     MARK, GROUP = "|", 200
@@ -73,7 +75,7 @@ class Tokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint16)
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
@@ -85,7 +87,7 @@ class Tokens:
         alone = [i for i, w in enumerate(words) if self.MARK in w]
         together = np.delete(np.arange(len(words)), alone)
         groups = [together[i : i + self.GROUP] for i in range(0, len(together), self.GROUP)]
-        at, size, flat, used = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        at, size, flat, used = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32), [], 0
         for group, got in zip(groups, self._encode([f" {self.MARK} ".join([words[i] for i in g]) for g in groups]), strict=True):
             marks = np.flatnonzero(got == self.mark)
             if len(marks) != len(group) - 1:
@@ -104,7 +106,7 @@ class Tokens:
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         flat, at, size = self._ids_of(words)
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at + len(self.flat)), np.insert(self.size, where, size)
+        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at + np.int32(len(self.flat))), np.insert(self.size, where, size)
         self.flat = np.concatenate([self.flat, flat])
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
@@ -123,7 +125,7 @@ class Tokens:
             self._learn(keys[new], [w.word(i).decode() for i in first[new]])
         slot = self._slots(keys)[inverse]
         size, at = self.size[slot], self.at[slot]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         flat = self.flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1])]
         upto = np.concatenate([[0], ends])
         return np.insert(flat, upto[w.last], END_ID), upto[w.last] - upto[w.first] + 1
@@ -161,7 +163,7 @@ def _count(path: str):
         tokens, sums = _tokens_of(path), np.zeros(1 << 16, np.int64)
         for batch in batches:
             texts = byte_texts(batch.column(0))
-            for lo, hi in in_chunks(texts, 4 << 20):
+            for lo, hi in in_chunks(texts):
                 sums += np.bincount(tokens.ids(texts[lo:hi])[0], minlength=1 << 16)
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(sums[seen])], ["id", "n"])
@@ -200,7 +202,7 @@ def _read(id_of: np.ndarray):
     return run
 
 
-def write_dataset(docs: DataFrame, tokenizer: str, n_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+def write_dataset(docs: DataFrame, tokenizer: str, n_tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Write the ids of all documents; returns (segments, ranks) as read back.
 
     tokenizer: path of a tokenizers file that drops white space and folds case, present on every worker.
@@ -213,11 +215,13 @@ def write_dataset(docs: DataFrame, tokenizer: str, n_files: int | None = None) -
     rank_of = np.zeros(1 << 16, np.uint32)
     for rank, i in listed:
         rank_of[i] = rank
-    if n_files is None:
+    if n_tasks is None:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        n_files = max(1, -(-size // BYTES_A_FILE))
-    ordered = texts.repartitionByRange(int(n_files), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    segments = keep(ordered.mapInArrow(_write(tokenizer, rank_of), "file long, segment long, start long, doc_ids array<long>, lengths array<long>, control binary, data binary"), "ids-segments")
+        n_tasks = min(MOST_TASKS, max(1, -(-size // BYTES_A_TASK)))
+    place = F.col("doc_id").asc_nulls_first(), F.col("key").asc()
+    ordered = texts.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).repartitionByRange(int(n_tasks), *place).sortWithinPartitions(*place, "text")
+    segments = ordered.select("doc_id", "text").mapInArrow(_write(tokenizer, rank_of), "file long, segment long, start long, doc_ids array<long>, lengths array<long>, control binary, data binary")
+    segments = keep(segments, "ids-segments", SEGMENTS_A_FILE)
     return segments, ranks
 
 

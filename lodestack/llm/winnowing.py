@@ -6,9 +6,11 @@ finds every shared span of at least that length (10 words here). A joined finger
 it, and is extended on both sides to the exact shared windows.
 
 An item of fewer than k + w - 1 words, but not none, is one window of its own length, looked up among the documents'
-n-grams of that length. Null and empty texts have no words. Documents are told apart by id: rows that repeat an id get
-the hits of all of them. Items that repeat an id count as one item; items without an id are ignored. Extra columns of
-either table are not read.
+n-grams of that length. Documents first meet the distinct windows of all items; which items hold a window is told after
+that, so a passage of many items costs a document one row.
+
+Null and empty texts have no words. Rows are told apart by id and text: rows that repeat both have equal hits. Items that
+repeat an id count as one item; items without an id are ignored. Extra columns of either table are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ def grams(words: Column, n: int) -> Column:
     return F.slice(F.transform(words, lambda x, i: F.xxhash64(x, *(F.get(words, i + j) for j in range(1, n)))), F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
 
-def _grams_of(text: Column, n: int) -> Column:
-    return let(item_words(text), lambda w: grams(w, n))
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def fingerprints(words: Column) -> Column:
@@ -65,7 +67,8 @@ def fingerprints(words: Column) -> Column:
 
 
 def shared_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id, at, n): each occurrence in a document of a window of an item; at: index of its first word."""
+    """(doc_id, key, item_id, at, n): each occurrence in a document of a window of an item; key: hash of the document's
+    text; at: index of the window's first word."""
     test = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), item_words(F.col("text")).alias("w"))
     prints = test.select("item_id", F.explode(fingerprints(F.col("w"))).alias("f")).select("item_id", F.col("f.h").alias("h"), F.col("f.around").alias("item_around"))
     short = test.filter((F.size("w") > 0) & (F.size("w") < SPAN))
@@ -74,24 +77,28 @@ def shared_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
 
-    train = docs.select(F.col(doc_id).alias("doc_id"), "text")
+    train = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col("text")).alias("key"), item_words(F.col("text")).alias("w"))
     found = (
-        train.select("doc_id", F.explode(fingerprints(item_words(F.col("text")))).alias("f"))
-        .select("doc_id", F.col("f.p").alias("p"), F.col("f.h").alias("h"), F.col("f.around").alias("around"))
-        .join(small(prints), "h")
+        train.select("doc_id", "key", F.explode(fingerprints(F.col("w"))).alias("f"))
+        .select("doc_id", "key", F.col("f.p").alias("p"), F.col("f.h").alias("h"), F.col("f.around").alias("around"))
+        .join(small(prints.select("h", "item_around").distinct()), "h")
     )
     reach = WINDOW - 1
     same = lambda k: F.get("around", k) == F.get("item_around", k)
-    hits = found.select(
-        "doc_id",
-        "item_id",
-        F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda k: F.when(same(k) & same(k + reach), F.col("p") - reach + k)), lambda x: x.isNotNull())).alias("at"),
-        F.lit(SPAN).alias("n"),
-    )
-    for n in lengths:
-        keys = short.filter(F.size("w") == n).select("item_id", F.get(grams(F.col("w"), n), F.lit(0)).alias("h"))
-        own = train.select("doc_id", F.posexplode(_grams_of(F.col("text"), n)).alias("at", "h"))
-        hits = hits.unionByName(own.join(small(keys), "h").select("doc_id", "item_id", "at", F.lit(n).alias("n")))
+    at = F.filter(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda k: F.when(same(k) & same(k + reach), k)), lambda x: x.isNotNull())
+    exact = found.withColumn("shared", at).filter(F.size("shared") > 0)
+    hits = exact.join(small(prints), ["h", "item_around"]).select("doc_id", "key", "item_id", F.explode(F.transform("shared", lambda k: F.col("p") - reach + k)).alias("at"), F.lit(SPAN).alias("n"))
+    if lengths:
+        # one pass over the documents: the n-grams of all the lengths, told apart by n
+        keys = F.array(*(F.when(F.size("w") == n, F.get(grams(F.col("w"), n), F.lit(0))) for n in lengths))
+        listed = short.select("item_id", F.size("w").alias("n"), F.array_max(keys).alias("h"))
+
+        def placed(n: int) -> Column:
+            return F.transform(grams(F.col("w"), n), lambda h, i: F.struct(F.lit(n).alias("n"), i.alias("at"), h.alias("h")))
+
+        every = F.flatten(F.array(*map(placed, lengths)))
+        grams_of = train.select("doc_id", "key", F.explode(every).alias("g")).select("doc_id", "key", "g.n", "g.at", "g.h")
+        hits = hits.unionByName(grams_of.join(small(listed), ["n", "h"]).select("doc_id", "key", "item_id", "at", "n"))
     return hits
 
 
@@ -99,7 +106,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
     """One row a document: n_words, n_hit (words inside any shared window), n_items, items (their ids, sorted as
     strings) and contaminated."""
     hits = shared_windows(docs, items, doc_id, item_id)
-    by_doc = hits.groupBy("doc_id").agg(
+    by_doc = hits.groupBy("doc_id", "key").agg(
         F.array_sort(F.collect_set(F.struct(F.col("at").alias("at"), F.col("n").alias("n")))).alias("windows"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
     )
@@ -109,8 +116,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", ite
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["at"] + x["n"] - F.greatest(a["end"], x["at"]))).alias("n"), F.greatest(a["end"], x["at"] + x["n"]).alias("end")),
         lambda a: a["n"].cast("long"),
     )
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
-    out = words.join(by_doc.select(F.col("doc_id").alias("hit_id"), covered.alias("n_hit"), "items"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    words = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col("text")).alias("key"), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
+    got = by_doc.select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), covered.alias("n_hit"), "items")
+    out = words.join(got, (F.col("key") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id",

@@ -290,7 +290,7 @@ def test_token_ids_are_the_tokenizers(spark, docs, texts):
     every = {**texts, **{10_000 + i: t for i, t in enumerate(odd)}}
     path = queries.word_tokenizer()
     tokenizer, start = Tokenizer.from_file(path), 0
-    got = {r.doc_id: r for r in token_ids.read_dataset(*token_ids.write_dataset(both, path, n_files=3)).collect()}
+    got = {r.doc_id: r for r in token_ids.read_dataset(*token_ids.write_dataset(both, path, n_tasks=3)).collect()}
     for i in sorted(every):
         ids = [*tokenizer.encode(every[i] or "", add_special_tokens=False).ids, 1]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), every[i]
