@@ -1,6 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, source mixing, token ids.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever
+other columns come with them. An empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -15,36 +16,39 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose their failing lines. Long lines are not judged by a single mention."""
+    """Rejected documents go, null and empty texts among them; the others lose their failing lines. Rows are judged each."""
     ship(spark)
-    out = line_cleaning.clean_lines(docs, fails=line_cleaning.dense_line_fails).filter("kept")
+    out = line_cleaning.clean_lines(docs).filter("kept")
     return out.withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays."""
+    """Of each group of near-duplicates the document of the least id stays, with all its rows if it repeats its id; rows
+    without an id stay."""
     ship(spark)
     gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go; those without an id are told apart by their texts."""
+    """Documents that hold a window of a benchmark item go; rows are told apart by id and text, so one without an id, or
+    one of several texts of an id, goes by its own text."""
     ship(spark)
-    key = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    keyed = docs.withColumn("_key", key)
-    hits = winnowing.shared_windows(keyed, queries.table(spark, sf_dir, "benchmark"), doc_id="_key")
-    return keyed.join(hits.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*COLUMNS)
+    hits = winnowing.shared_windows(docs, queries.table(spark, sf_dir, "benchmark"))
+    gone = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = (winnowing.text_key(F.col("text")) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that each source's target takes; a second pass repeats a document's row."""
+    """The words that each source's target takes, in the order of the schedule; a second pass repeats a document's row.
+    Null and empty texts are never taken."""
     ship(spark)
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the mixed documents, written and read back."""
+    """Ids of the mixed documents, written and read back, in ascending doc_id order as the operator's files have it."""
     ship(spark)
     return queries.token_digests(docs)
 
