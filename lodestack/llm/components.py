@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.shared import drop_kept, keep
+from lodestack.llm.shared import drop_kept, keep, sized
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """edges(u, v) with m, the least of u and its neighbours. The least is counted before it is joined back, and both
     sides of the join are plain exchanges, so a node with very many neighbours is split between tasks."""
-    least = keep(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc-least")
+    least = keep(sized(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), most), "cc-least")
     return edges.join(least, "u"), least
 
 
@@ -22,15 +22,16 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     rounds grows with the logarithm of the longest path.
     """
     e = keep(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    most = 2 * e.count()  # no step has more rows
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        joined, least = _with_least(both)
-        large = keep(joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        joined, least = _with_least(both, most)
+        large = keep(sized(joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), most), "cc-large")
         drop_kept(least)
-        joined, least = _with_least(large)
+        joined, least = _with_least(large, most)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        small = keep(small, "cc-small")
+        small = keep(sized(small, most), "cc-small")
         state = small.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         drop_kept(least, large, e)
         e = small

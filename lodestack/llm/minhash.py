@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import components
-from lodestack.llm.shared import drop_kept, drop_kept_since, keep, kept_so_far
+from lodestack.llm.shared import drop_kept, drop_kept_since, keep, kept_so_far, sized
 from lodestack.llm.text import BYTE_LOWER, Words, _splitmix, byte_texts, in_chunks, mix
 
 SHINGLE = 5
@@ -47,6 +47,8 @@ HEAVY_LEAST, HEAVY_MOST = 24, 100_000
 BROADCAST_IDS = 1_000_000
 #: Members of an open list that still meet each other: at most half as many pairs as this for each posting.
 CROWD = 64
+#: Pairs, each with two signatures or texts, that are worth a task.
+PAIRS_A_TASK = 5_000
 
 _A = _splitmix(COORDINATES, 1001) | np.uint64(1)
 _B = _splitmix(COORDINATES, 2002)
@@ -166,12 +168,12 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def _representatives(described: DataFrame, sets: DataFrame) -> DataFrame:
+def _representatives(described: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, sig) of one document of each set. Where no row repeats an id and few are left out, signatures
     stay where they are; else they are dealt by id."""
     rows = described.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sig")
     others = described.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "h1", "h2").join(sets, ["h1", "h2"]).filter("doc_id <> rep").select("doc_id")
-    others = keep(others, "mh-others")
+    others = keep(sized(others, n), "mh-others")
     repeated = not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
     if not repeated and others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         return rows.join(F.broadcast(others), "doc_id", "left_anti")
@@ -182,8 +184,9 @@ def _colliding(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= COLLISIONS).select("a", "b")
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b), those that agree by signature and then by whole sets."""
+def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFrame:
+    """Of pairs(a, b) of n documents at most, those that agree by signature and then by whole sets."""
+    mark, most = kept_so_far(), pairs.count()
 
     def both(df: DataFrame, side: DataFrame, what: str) -> DataFrame:
         for x in ("a", "b"):
@@ -191,13 +194,14 @@ def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int) ->
         return df.select("a", "b", f"{what}_a", f"{what}_b")
 
     def named(df: DataFrame) -> DataFrame:
-        return _small(keep(df.select(F.col("a").alias("doc_id")).union(df.select("b")).distinct(), "mh-named"))
+        return _small(keep(sized(df.select(F.col("a").alias("doc_id")).union(df.select("b")).distinct(), min(n, 2 * most)), "mh-named"))
 
     # only signatures and texts that a pair names are shuffled
-    close = keep(both(pairs, sigs.join(named(pairs), "doc_id", "left_semi"), "sig").mapInArrow(_agree, "a long, b long"), "mh-close")
+    close = keep(sized(both(pairs, sigs.join(named(pairs), "doc_id", "left_semi"), "sig"), most, PAIRS_A_TASK).mapInArrow(_agree, "a long, b long"), "mh-close")
+    most = close.count()
     wanted = keep(texts.join(named(close), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "mh-texts")
-    links = keep(both(close, wanted, "text").mapInArrow(_confirm(percent), "a long, b long"), "mh-links")
-    drop_kept(close, wanted)
+    links = keep(sized(both(close, wanted, "text"), most, PAIRS_A_TASK).mapInArrow(_confirm(percent), "a long, b long"), "mh-links")
+    drop_kept_since(pairs.sparkSession, mark, links)
     return links
 
 
@@ -269,40 +273,42 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataF
     rows = described.drop("sig")
     is_real = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     real = rows.filter(is_real)
-    sets = keep(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("n")), "mh-reps")
-    reps = _representatives(described, sets)
+    n = real.count()
+    sets = keep(sized(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("n_shingles").alias("n")), n), "mh-reps")
+    reps = _representatives(described, sets, n)
 
     often = reps.select("sig").mapInArrow(_often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_LEAST)
     listed = np.array([(r[0], r[1]) for r in often.orderBy(F.desc("n"), "token").limit(HEAVY_MOST).collect()], np.int64).reshape(-1, 2)
     heavy, counts = listed[:, 0].astype(np.int64).view(np.uint64), listed[:, 1]
     by = np.argsort(heavy)
     postings = reps.select("doc_id", "n_shingles", "sig").mapInArrow(_post(heavy[by], counts[by]), "token long, rep long, n long")
-    lists = keep(postings.groupBy("token").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "hub"), "mh-lists")
-    shared = keep(postings.join(lists, "token"), "mh-postings")  # postings of lists of two or more
+    posted = n * PREFIX
+    lists = keep(sized(postings.groupBy("token").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "hub"), posted // 2), "mh-lists")
+    shared = keep(sized(postings.join(lists, "token"), posted), "mh-postings")  # postings of lists of two or more
 
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     stars = _colliding(shared.filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    stars = keep(stars, "mh-stars")
-    first = _links(stars, reps, texts, percent)
-    joined = keep(components(first), "mh-first")
+    stars = keep(sized(stars, posted // COLLISIONS), "mh-stars")
+    first = _links(stars, reps, texts, percent, n)
+    joined = keep(sized(components(first), n), "mh-first")
 
     # members of a list that are in different components yet
     placed = shared.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    placed = keep(placed, "mh-placed")
+    placed = keep(sized(placed, posted), "mh-placed")
     open_lists = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("token", "c")
-    left = keep(placed.join(open_lists, "token"), "mh-open")
+    left = keep(sized(placed.join(open_lists, "token"), posted), "mh-open")
     a, b = left.filter(F.col("c") <= CROWD).alias("a"), left.filter(F.col("c") <= CROWD).alias("b")
     rest = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component")) & fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
     # two of a crowded list are both in the crowd; of others every collision counts here
     rest = _colliding(rest)
-    crowd = keep(left.filter(F.col("c") > CROWD).select("rep", "component").distinct(), "mh-crowd-ids")
+    crowd = keep(sized(left.filter(F.col("c") > CROWD).select("rep", "component").distinct(), n), "mh-crowd-ids")
     rest = rest.unionByName(_crowded_pairs(crowd, texts, percent)).distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
-    second = _links(keep(rest, "mh-rest"), reps, texts, percent)
-    found = keep(components(first.unionByName(second)), "mh-components")
+    second = _links(keep(rest, "mh-rest"), reps, texts, percent, n)
+    found = keep(sized(components(first.unionByName(second)), n), "mh-components")
     # documents of a set of their own that nothing links are their own class: only the others are joined
     by_set = sets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").filter("component is not null or rep < last")
-    by_set = keep(by_set.select("h1", "h2", F.coalesce("component", "rep").alias("component")), "mh-classes")
+    by_set = keep(sized(by_set.select("h1", "h2", F.coalesce("component", "rep").alias("component")), n), "mh-classes")
     drop_kept_since(spark, mark, described, by_set)
     classed = real.join(by_set, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     alone = rows.filter(~F.coalesce(is_real, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

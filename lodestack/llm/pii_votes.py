@@ -63,7 +63,7 @@ SPANS = "array<struct<start:int,end:int,value:string>>"
 
 def _upto(sizes: Column) -> Column:
     """Running sums of an array of integers."""
-    return F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0)) + n)))
+    return F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
 
 
 def _matches(text: Column, pattern: str, hint: str) -> Column:

@@ -49,6 +49,12 @@ def keep(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     return out
 
 
+def sized(df: DataFrame, rows: int, a_task: int = 250_000) -> DataFrame:
+    """``df``, known to have at most so many rows, in no more tasks than these are worth: a small table of an iterative
+    plan is not dealt over all shuffle partitions and written as as many files. It only merges partitions."""
+    return df.coalesce(max(1, -(-rows // a_task)))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
