@@ -95,14 +95,14 @@ def chunks(text: Column, most: int = CHUNK_BYTES) -> Column:
     return once(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), cut)
 
 
-def spliced(existing: Column, body: str) -> Column:
+def spliced(existing: Column, body: Column | str) -> Column:
     """A text with its managed block (the one of the last markers) replaced, or one appended."""
-    block = f"{BLOCK_BEGIN}\n{body}\n{BLOCK_END}"
+    block = F.concat(F.lit(f"{BLOCK_BEGIN}\n"), F.lit(body), F.lit(f"\n{BLOCK_END}"))
     last = lambda mark: F.length(existing) - F.locate(mark[::-1], F.reverse(existing)) - len(mark) + 2
     begin, end = last(BLOCK_BEGIN), last(BLOCK_END)
     held = existing.contains(BLOCK_BEGIN) & existing.contains(BLOCK_END) & (begin < end)
-    inside = F.concat(F.substr(existing, F.lit(1), begin - 1), F.lit(block), F.substr(existing, end + len(BLOCK_END)))
-    return F.when(held, inside).when(existing == "", block + "\n").otherwise(F.concat(existing, F.when(existing.endswith("\n"), "\n").otherwise("\n\n"), F.lit(block + "\n")))
+    inside = F.concat(F.substr(existing, F.lit(1), begin - 1), block, F.substr(existing, end + len(BLOCK_END)))
+    return F.when(held, inside).when(existing == "", F.concat(block, F.lit("\n"))).otherwise(F.concat(existing, F.when(existing.endswith("\n"), "\n").otherwise("\n\n"), block, F.lit("\n")))
 
 
 def block_body(existing: Column) -> Column:

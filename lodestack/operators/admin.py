@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks in a collection's name.
@@ -60,5 +60,16 @@ def levels(names: list[str]) -> Column:
 
 def with_fallback(wanted: DataFrame, stored: DataFrame, defaults: DataFrame) -> DataFrame:
     """For wanted(tier, scope_id): the stored body, else the tier's default; origin tells which."""
-    out = wanted.join(stored, ["tier", "scope_id"], "left").join(F.broadcast(defaults), "tier", "left")
+    out = wanted.join(stored, ["tier", "scope_id"], "left").join(defaults, "tier", "left")
     return out.select("tier", "scope_id", F.coalesce("body", "default_body").alias("body"), F.when(F.col("body").isNotNull(), "stored").otherwise("default").alias("origin"))
+
+
+def runner_order(runners: DataFrame, configured: dict[str, int], defaults: dict[str, int]) -> DataFrame:
+    """runners(chain, name, priority, ord) with their place in each chain: by the runner's own priority, else the
+    configured one, else the default one, unknown names last; equal ones in their given order."""
+
+    def of(values: dict[str, int]) -> Column:
+        return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)).cast("map<string,int>"), F.col("name")) if values else F.lit(None).cast("int")
+
+    ranked = runners.withColumn("effective", F.coalesce("priority", of(configured), of(defaults), F.lit(2**31 - 1)))
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("chain").orderBy("effective", "ord")))

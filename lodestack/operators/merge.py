@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.textops import excerpt, tokens
+from lodestack.sources.shared import cut
 
 #: Rank of a layer, the lower the earlier; any other layer ranks as file.
 LAYER_RANK = {"meta": 0, "enterprise": 1, "project": 2, "vector": 3, "file": 4}
@@ -32,10 +33,20 @@ def dedupe(hits: DataFrame) -> DataFrame:
     return out.filter("n = 1").select("source", "chunk", "layer", "ord", F.array_join(F.array_sort(F.array_except("layers", F.array("layer"))), ",").alias("also_matched"))
 
 
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with ``rank``, from 1, in one order over all rows. Rows are dealt by ranges of the order and numbered within
+    them, so no task has them all; the ranges are written once, as their bounds come from a sample."""
+    placed = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row a range
+    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.withColumn("_own", own).join(before, "_range").withColumn("rank", (F.col("_before") + F.col("_own")).cast("int")).drop("_range", "_own", "_before")
+
+
 def by_source(hits: DataFrame) -> DataFrame:
     """Order of first appearance of the source, then chunk (none as 0), then ord: as column ``rank``."""
-    first = F.min("ord").over(Window.partitionBy("source"))
-    return hits.withColumn("first", first).withColumn("rank", F.row_number().over(Window.orderBy("first", F.coalesce("chunk", F.lit(0)), "ord"))).drop("first")
+    firsts = hits.groupBy("source").agg(F.min("ord").alias("_first"))
+    return numbered(hits.join(firsts, "source"), [F.col("_first"), F.coalesce("chunk", F.lit(0)), F.col("ord")]).select(*hits.columns, "rank")
 
 
 def layer_rank(layer: Column) -> Column:
@@ -44,9 +55,12 @@ def layer_rank(layer: Column) -> Column:
 
 
 def ranked(hits: DataFrame, within: str | None = None) -> DataFrame:
-    """Layer, then keyword matches, then score, then source and chunk. ``within``: rank each group by itself."""
+    """Layer, then keyword matches, then score, then source and chunk, these by code points, not by a locale's order.
+    ``within``: rank each group by itself, as for hits already cut to a top list."""
     order = [layer_rank(F.col("layer")), (F.coalesce("match_type", F.lit("")) != "keyword").cast("int"), F.coalesce("score", F.lit(0.0)).desc(), F.concat_ws("\u0000", F.coalesce("source", F.lit("")), F.coalesce(F.col("chunk").cast("string"), F.lit("")))]
-    return hits.withColumn("rank", F.row_number().over((Window.partitionBy(within) if within else Window.partitionBy()).orderBy(*order)))
+    if within is None:
+        return numbered(hits, order)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(within).orderBy(*order)))
 
 
 def rendered(hit: Column, index: Column) -> Column:
@@ -57,15 +71,17 @@ def rendered(hit: Column, index: Column) -> Column:
     return F.concat(head, F.when(ex != "", F.concat(F.lit("\n   > "), ex)).otherwise(""))
 
 
-def packed(ranked_hits: DataFrame, group: str, budget: int, most: int) -> DataFrame:
+def packed(ranked_hits: DataFrame, group: str, budget: int, most: int | None) -> DataFrame:
     """Greedy packing by rank for each group: the first hit always fits, one over the budget is skipped, later smaller
-    ones may still fit, no more than ``most`` are shown. A group's hits are those already cut to a top list."""
+    ones may still fit, no more than ``most`` are shown (None: as many as the key's own field ``most`` says). A group's
+    hits are those already cut to a top list."""
+    limit = F.col(f"{group}.most") if most is None else F.lit(most)
     hits = ranked_hits.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "layer", "match_type", "score", "source", "chunk", "text"))).alias("hits"))
     start = F.struct(F.array().cast("array<string>").alias("shown"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("skipped"))
 
     def step(a: Column, h: Column) -> Column:
         text = rendered(h, F.size(a["shown"]))
-        full = F.size(a["shown"]) >= most
+        full = F.size(a["shown"]) >= limit
         over = (a["used"] > 0) & (a["used"] + tokens(text) > budget)
         return F.when(full, a).when(over, F.struct(a["shown"].alias("shown"), a["used"].alias("used"), (a["skipped"] + 1).alias("skipped"))).otherwise(F.struct(F.concat(a["shown"], F.array(text)).alias("shown"), (a["used"] + tokens(text)).alias("used"), a["skipped"].alias("skipped")))
 

@@ -79,3 +79,8 @@ def disposed(drafts: DataFrame, tier: str, scope_id: str, state: str, at: str) -
         raise ValueError(f"unknown disposition: {state}")
     this = (F.col("tier") == tier) & (F.col("scope_id") == scope_id) & (F.col("state") == "draft")
     return drafts.withColumn("disposed_at", F.when(this, F.lit(at)).otherwise(F.col("disposed_at"))).withColumn("state", F.when(this, F.lit(state)).otherwise(F.col("state")))
+
+
+def listed(personas: DataFrame) -> DataFrame:
+    """(tier, scope_id) of personas(tier, scope_id, state) that are no drafts."""
+    return personas.filter(F.coalesce(F.col("state"), F.lit("")) != "draft").select("tier", "scope_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +19,23 @@ def _named(query: str) -> str:
 
 def literal(files: DataFrame, query: str, ignore_case: bool = False, area: str | None = None) -> DataFrame:
     """Lines that hold a literal. An area that no file has widens to all files."""
-    _named(query)
-    if area is not None:
-        chosen = files.filter(F.col("area") == area)
-        files = files if chosen.isEmpty() else chosen
-    line = F.lower("line") if ignore_case else F.col("line")
-    return lines(files).filter(F.contains(line, F.lit(query.lower() if ignore_case else query)))
+    return any_literal(files, [query], ignore_case, area)
+
+
+def any_literal(files: DataFrame, queries: list[str], ignore_case: bool = False, area: str | None = None) -> DataFrame:
+    """Lines that hold one of some literals, in one pass; a text is cut into lines only if it holds one itself."""
+    wanted = [_named(q).lower() if ignore_case else _named(q) for q in queries]
+    holds = lambda c: reduce(lambda a, b: a | b, (F.contains(F.lower(c) if ignore_case else F.col(c), F.lit(q)) for q in wanted))
+    return lines(in_area(files, area).filter(holds("text"))).filter(holds("line"))
+
+
+def in_area(files: DataFrame, area: str | None) -> DataFrame:
+    """Files of an area: of two segments or more, all below it; of one or none, only those right in it. An area that no
+    file has widens to all files."""
+    if area is None:
+        return files
+    chosen = files.filter(F.startswith("path", F.lit(f"{area}/")) if "/" in area else F.col("area") == area)
+    return files if chosen.isEmpty() else chosen
 
 
 def top_of(hits: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
@@ -35,15 +48,21 @@ def keyword(files: DataFrame, query: str, hits: int = 5) -> DataFrame:
     return top_of(literal(files, query), "repo", [F.col("doc_id"), F.col("line_no")], hits).withColumn("score", F.lit(None).cast("double"))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def scored(vectors: DataFrame, query_id: int) -> DataFrame:
-    """Cosine of every vector to one of them. The query is one row, so it is broadcast."""
-    query = vectors.filter(F.col("vec_id") == query_id).limit(1).select(F.col("embedding").alias("query"), F.lit(1).alias("one"))
-    return vectors.withColumn("one", F.lit(1)).join(F.broadcast(query), "one").select("vec_id", F.col("label").cast("long").alias("scope"), F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+    """Cosine of every vector to one of them. The query is one row: its vector and norm go into the plan as a literal."""
+    row = vectors.filter(F.col("vec_id") == query_id).select(F.col("embedding").cast("array<double>").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).first()
+    query, norm = (row["q"], row["norm"]) if row else ([], 0.0)
+    own = F.col("embedding")
+    cos = dot(own, F.array(*map(F.lit, query)).cast("array<double>")) / (F.sqrt(dot(own, own)) * F.lit(norm))
+    return vectors.select("vec_id", F.col("label").cast("long").alias("scope"), F.round(cos, 6).alias("score")).filter(F.lit(row is not None))
 
 
 def neighbours(chunks: DataFrame, hits: DataFrame, radius: int) -> DataFrame:
@@ -57,7 +76,8 @@ def file_index(files: DataFrame) -> DataFrame:
 
 
 def areas(files: DataFrame) -> DataFrame:
-    return files.groupBy("area").agg(F.count(F.lit(1)).alias("n_files"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
+    """(area, n_files, first_path, last_path): counts and bounds; a listing of an area's paths is rows, not one value."""
+    return files.groupBy("area").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
 
 def find_cost(files: DataFrame, query: str) -> DataFrame:

@@ -51,7 +51,7 @@ def query(sql: str | None = None):
 
 @query(f"WITH {LINES} SELECT doc_id, path, line_no, line, sha256(line) AS line_sha FROM lines WHERE contains(line, 'thonand') OR contains(line, '{QUERY} ')")
 def literal_search(spark, d):
-    found = search.literal(T.files(spark, d), QUERY + " ").unionByName(search.literal(T.files(spark, d), "thonand")).distinct()
+    found = search.any_literal(T.files(spark, d), [QUERY + " ", "thonand"])
     return found.select("doc_id", "path", "line_no", "line", F.sha2("line", 256).alias("line_sha"))
 
 
@@ -79,7 +79,7 @@ def headings(spark, d):
     return md.select("doc_id", F.explode(X.headings(F.col("text"))).alias("h")).select("doc_id", F.col("h.line").alias("line"), F.col("h.level").alias("level"), F.col("h.text").alias("heading"))
 
 
-@query(f"WITH {FILES} SELECT area, count(*) AS n_files, string_agg(path, ',' ORDER BY path) AS paths FROM files GROUP BY area")
+@query(f"WITH {FILES} SELECT area, count(*) AS n_files, min(path) AS first_path, max(path) AS last_path FROM files GROUP BY area")
 def area_rollup(spark, d):
     return search.areas(T.files(spark, d))
 
@@ -315,13 +315,13 @@ def triple_lookup_live(spark, d):
 # ------------------------------------------------------------------ linker
 
 
-@query("SELECT n.n_name AS identifier, r_name AS def_repo, 'schemas/' || n.n_nationkey || '.ts' AS def_path, c_mktsegment AS use_repo, 'src/' || c_custkey || '.ts' AS use_path, l AS use_line, r_name <> c_mktsegment AS cross_repo FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN region ON n.n_regionkey = r_regionkey, unnest([2, 3]) t(l)")
+@query("SELECT n.n_name AS identifier, r_name AS def_repo, 'schemas/' || n.n_nationkey || '.ts' AS def_path, c_mktsegment AS use_repo, 'src/' || c_custkey || '.ts' AS use_path, l AS use_line, r_name <> c_mktsegment AS cross_repo FROM customer JOIN nation n ON c_nationkey = n.n_nationkey JOIN region ON n.n_regionkey = r_regionkey, unnest([2, 3, 5]) t(l)")
 def crossref_link(spark, d):
     code = T.code(spark, d)
     return linker.linked(linker.definitions(code), linker.usages(code))
 
 
-@query("SELECT c_mktsegment AS repo, 'src/' || c_custkey || '.ts' AS path, 'other' AS identifier, 3 AS line FROM customer")
+@query("SELECT c_mktsegment AS repo, 'src/' || c_custkey || '.ts' AS path, 'other' AS identifier, 4 AS line FROM customer")
 def crossref_usage_only(spark, d):
     code = T.code(spark, d)
     return linker.orphans(linker.definitions(code), linker.usages(code)).select("repo", "path", "identifier", "line")

@@ -1,7 +1,7 @@
 """Canonical tables of the engine, derived from the star schema, document and web tables of a data folder.
 
 files(path, area, repo, doc_id, text), lines(+ line_no, line), notes(note_id, status, branch, commit_sha, header, body),
-nodes(id, label, kind, source_file), links(source, target, relation, origin, ord), triples, code(repo, path, text),
+nodes(id, label, kind), links(source, target, relation, origin), triples, code(repo, path, text),
 runner_events(ord, event, runner, ts).
 """
 
@@ -37,7 +37,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The star schema as a typed graph; ord makes the order of links explicit."""
+    """The star schema as a typed graph."""
     key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
     def edges(name: str, src: tuple[str, str], relation: str, dst: tuple[str, str]) -> DataFrame:
@@ -85,7 +85,7 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     customer = table(spark, sf_dir, "customer")
     uses = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey).select(
-        F.col("c_mktsegment").alias("repo"), F.concat(F.lit("src/"), F.col("c_custkey").cast("string"), F.lit(".ts")).alias("path"), F.concat(F.lit("const q =\n  `*[_type == '"), F.col("n_name"), F.lit("']`\nconst r = `*[_type in ['"), F.col("n_name"), F.lit("', 'other']]`")).alias("text")
+        F.col("c_mktsegment").alias("repo"), F.concat(F.lit("src/"), F.col("c_custkey").cast("string"), F.lit(".ts")).alias("path"), F.concat(F.lit("const q =\n  `*[_type == '"), F.col("n_name"), F.lit("']`\nconst r = `*[_type in ['"), F.col("n_name"), F.lit("',\n  'other', 'a\"]]`\nconst s = `*[_type == '"), F.col("n_name"), F.lit("']`")).alias("text")
     )
     return defs.unionByName(uses)
 
