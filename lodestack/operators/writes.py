@@ -97,14 +97,14 @@ def create_collection_and_scope(collections: DataFrame, scopes: DataFrame, name:
     if new.filter(F.col("collection").rlike(COLLECTION_NAME) & (F.col("dimension") > 0)).isEmpty():
         return collections, scopes, tell(False, False, "malformed collection")
     made = collections.filter(F.col("collection") == name).isEmpty()
-    grown = collections.unionByName(new.select(*collections.columns)) if made else collections
+    grown = collections.unionByName(new.select("collection", "dimension"), allowMissingColumns=True) if made else collections
     held = scopes.filter(F.col("scope") == scope).limit(1).collect()
     if held:
         same = held[0]["collection"] == name
         return grown, scopes, tell(made, False, None if same else f"scope is mapped to {held[0]['collection']}")
     if new.filter(F.col("scope").rlike(SCOPE_NAME)).isEmpty():
         return grown, scopes, tell(made, False, "malformed scope")
-    return grown, scopes.unionByName(new.select(*scopes.columns)), tell(made, True, None)
+    return grown, scopes.unionByName(new.select("scope", "collection"), allowMissingColumns=True), tell(made, True, None)
 
 
 def with_status(text: Column, to: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.functions.textops import area_of
+from lodestack.functions.textops import area_of, capped
 
 #: Folders never walked, files that a reindex takes, and files a context crawl may read, in order.
 IGNORED = (".git", "node_modules", "dist", "build", "coverage")
@@ -27,9 +27,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+TREE = "path string, area string, text string, modified timestamp"
+
+
 def text_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
     """(path, area, text, modified) of the files below a folder, ignored folders left out. Files that are no UTF-8 have
-    null text."""
+    null text; a folder that is not there is an empty table."""
+    if not _exists(spark, root):
+        return spark.createDataFrame([], TREE)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if extensions:
         raw = raw.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
@@ -75,3 +80,38 @@ def first_of(files: DataFrame, candidates: list[str]) -> DataFrame:
     """The first of ranked candidate names that exists."""
     ranks = files.sparkSession.createDataFrame(list(enumerate(candidates)), "rank int, path string")
     return files.join(F.broadcast(ranks), "path").orderBy("rank").limit(1)
+
+
+def context(files: DataFrame, groups: list[list[str]], lines: int = 40, chars: int = 1_200) -> DataFrame:
+    """(name, path, excerpt) of a bounded crawl: of each group of candidate names the first that is there, its text cut to
+    so many lines and characters. A name is the group's first candidate."""
+    ranked = [(g[0], k, p) for g in groups for k, p in enumerate(g)]
+    ranks = files.sparkSession.createDataFrame(ranked, "name string, rank int, path string")
+    found = files.join(ranks, "path")
+    first = found.groupBy("name").agg(F.min_by(F.struct("path", "text"), "rank").alias("f"))
+    return first.select("name", "f.path", capped(F.col("f.text"), lines, chars).alias("excerpt"))
+
+
+INVENTORY = "collection string, points long"
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """An inventory as ``writes.write_inventory`` left it; unlike other readers it fails where there is none."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"no inventory at {path}: write it first")
+    return spark.read.schema(INVENTORY).json(path)
+
+
+PERSONA = "tier string, scope_id string, display_name string, sections array<struct<heading:string,body:string>>, parents array<struct<tier:string,scope_id:string>>"
+
+
+def personas(spark: SparkSession, path: str) -> DataFrame:
+    """Personas as ``writes.write_persona`` left them; none where there is no folder."""
+    return spark.read.schema(PERSONA).parquet(path) if _exists(spark, path) else spark.createDataFrame([], PERSONA)
+
+
+ORG_TREE = "repo_path string, owner string, ord long"
+
+
+def org_tree(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ORG_TREE).json(path) if _exists(spark, path) else spark.createDataFrame([], ORG_TREE)

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` read back from a checkpoint: iterative plans stay short and survive a lost executor. The folder is the
-    session's ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    session's ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestack-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestack-"))
     return df.checkpoint()

@@ -10,7 +10,8 @@ EVENT = "note_id long, kind string, at timestamp"
 
 def lifecycle(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Keyed state from a stream of (note_id, kind: promote or supersede, at): the first event by time decides, later ones
-    are no-ops. An aggregation, so state is one small row a note."""
+    are no-ops. An aggregation: state is one small row a note and is kept for good, as a note may be named again at any
+    time and must then stay as it was decided; the watermark bounds no state here."""
     return events.withWatermark("at", late).groupBy("note_id").agg(F.min_by("kind", "at").alias("first_kind"), F.count(F.lit(1)).alias("n_events")).select("note_id", F.when(F.col("first_kind") == "promote", "confirmed").otherwise("superseded").alias("status"), "n_events")
 
 
