@@ -44,7 +44,8 @@ LOOSE = {
 }
 LOOSE_HINT = {"email": r"[\[({]at[\])}]| dot ", "ip": "[0-9A-Fa-f]:[0-9A-Fa-f:]", "card": r"[0-9]{4}[./_\x20]", "phone": "[0-9][ .-][0-9]"}
 
-#: Gazetteers and cue words.
+#: Gazetteers and cue words; these are looked for since the match before, in so many characters.
+AROUND = 32
 DOMAINS = "com|org|net|edu|gov|info|io|co|de|fr|es|it|nl|uk|eu|us|ch|at|example"
 CUES = {
     "email": "mail|contact|write to|reach|schreib|contacter|correo|courriel",
@@ -53,12 +54,11 @@ CUES = {
     "phone": "phone|call|tel|fax|mobile|cell|telefon|llama|appel",
 }
 COUNTER_CUES = r"version|isbn|order|invoice|serial|figure|table|page|password|\bid\b|\bno\b|\bv$"
-AROUND = 32
 
 
 #: Matches whose offsets one fold appends: folds copy what they append to, so long lists go by blocks of so many.
 BLOCK = 128
-SPANS = "array<struct<start:int,end:int,value:string>>"
+SPANS = "array<struct<start:int,end:int,value:string,before:string,left:string,right:string>>"
 
 
 def _upto(sizes: Column) -> Column:
@@ -67,7 +67,9 @@ def _upto(sizes: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str, hint: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches, from the lengths of the gaps between them."""
+    """array<struct<start, end, value, before, left, right>> of a pattern's matches, from the gaps between them: offsets
+    from their lengths, ``before`` (AROUND characters at most, lower-cased) and the characters at the borders from their
+    ends, so that a text of many matches is not searched from its begin for each."""
 
     def of_steps(steps: Column) -> Column:
         # steps: (gap, value) of every match; each block's total is summed first, and then the offsets within the block
@@ -82,7 +84,7 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
                     before = F.when(k > 0, F.get(totals, k - 1)).otherwise(0)
                     return let(
                         _upto(F.transform(block, size)),
-                        lambda ends: F.transform(block, lambda s, i: F.struct((before + F.get(ends, i) - F.length(s["value"])).alias("start"), (before + F.get(ends, i)).alias("end"), s["value"].alias("value"))),
+                        lambda ends: F.transform(block, lambda s, i: F.struct((before + F.get(ends, i) - F.length(s["value"])).alias("start"), (before + F.get(ends, i)).alias("end"), *(s[x].alias(x) for x in ("value", "before", "left", "right")))),
                     )
 
                 return F.flatten(F.transform(blocks, of_block))
@@ -91,10 +93,19 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
 
         return F.when(F.size(steps) > 0, let(blocks, of_blocks)).otherwise(F.array().cast(SPANS))
 
-    found = let(
-        F.split(text, pattern, -1),
-        lambda gaps: let(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("value"))), of_steps),
-    )
+    def of_gaps(gaps: Column) -> Column:
+        def of_values(values: Column) -> Column:
+            def step(m: Column, i: Column) -> Column:
+                gap, after = F.get(gaps, i), F.get(gaps, i + 1)
+                left = F.when(gap != "", F.right(gap, F.lit(1))).otherwise(F.coalesce(F.right(F.get(values, i - 1), F.lit(1)), F.lit("")))
+                right = F.when(after != "", F.left(after, F.lit(1))).otherwise(F.coalesce(F.left(F.get(values, i + 1), F.lit(1)), F.lit("")))
+                return F.struct(F.length(gap).alias("gap"), m.alias("value"), F.lower(F.right(gap, F.lit(AROUND))).alias("before"), left.alias("left"), right.alias("right"))
+
+            return let(F.transform(values, step), of_steps)
+
+        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_values)
+
+    found = let(F.split(text, pattern, -1), of_gaps)
     return F.when(text.rlike(hint), found).otherwise(F.array().cast(SPANS))
 
 
@@ -133,11 +144,9 @@ def _border(c: Column) -> Column:
     return F.when(c == "", "edge").when(c.rlike(r"^[\x20\x09-\x0D]"), "space").when(c.rlike(r"^[\p{L}\p{N}]"), "letter").otherwise("mark")
 
 
-def _described(text: Column, span: Column, kind: str, strict: Column) -> Column:
+def _described(span: Column, kind: str, strict: Column) -> Column:
     """A span with its votes (1, 0 or -1 each) and its classifier features, as a struct."""
-    before = F.lower(F.substr(text, F.greatest(span["start"] - AROUND, F.lit(0)) + 1, F.least(span["start"], F.lit(AROUND))))
-    left = F.when(span["start"] > 0, F.substr(text, span["start"], F.lit(1))).otherwise("")
-    right = F.substr(text, span["end"] + 1, F.lit(1))
+    before, left, right = span["before"], span["left"], span["right"]
     cue, counter = before.rlike(CUES[kind]), before.rlike(COUNTER_CUES)
     good = ~left.rlike(r"^[\p{L}\p{N}]") & ~right.rlike(r"^[\p{L}\p{N}@]")
     votes = F.array(F.when(strict, 1).otherwise(0), _gazetteer(kind, span["value"]), F.when(cue, 1).otherwise(0), F.when(good, 1).otherwise(-1), F.when(counter, -1).otherwise(0))
@@ -217,7 +226,7 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     every = F.concat(*(F.col(k) for k in KINDS))
 
     def described_all(spans: Column, kind: str, is_strict: bool) -> Column:
-        return F.transform(spans, lambda s: _described(F.col("body"), s, kind, F.lit(is_strict)))
+        return F.transform(spans, lambda s: _described(s, kind, F.lit(is_strict)))
 
     described = [described_all(F.col(k), k, True) for k in KINDS]
     fits = lambda k, s: _valid(k, s["value"]) if k == "card" else F.lit(True)

@@ -30,11 +30,11 @@ from lodestack.llm.text import BYTE_LOWER, IS_WHITE, Words, byte_texts, in_chunk
 
 END_ID = 1
 #: Bytes of text a segment is cut at.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 2 << 20
 #: Tasks of about so many bytes of text, but not more than so many tasks; a task's files hold so many segments at most.
 BYTES_A_TASK, MOST_TASKS, SEGMENTS_A_FILE = 32 << 20, 20_000, 64
 #: Words whose ids a worker remembers before it starts anew; it bounds memory and changes no result.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -163,7 +163,7 @@ def _count(path: str):
         tokens, sums = _tokens_of(path), np.zeros(1 << 16, np.int64)
         for batch in batches:
             texts = byte_texts(batch.column(0))
-            for lo, hi in in_chunks(texts):
+            for lo, hi in in_chunks(texts, SEGMENT_BYTES):
                 sums += np.bincount(tokens.ids(texts[lo:hi])[0], minlength=1 << 16)
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(sums[seen])], ["id", "n"])
