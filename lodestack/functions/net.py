@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Address ranges that are never fetched, as network, bits, why; in the order they are tried.
+#: Address ranges that are never fetched, as network and bits; in the order they are tried.
 BLOCKED = (
-    ("127.0.0.0", 8, "loopback"),
-    ("10.0.0.0", 8, "private-network"),
-    ("172.16.0.0", 12, "private-network"),
-    ("192.168.0.0", 16, "private-network"),
-    ("169.254.0.0", 16, "link-local/cloud-metadata"),
-    ("::1", 128, "loopback"),
-    ("fc00::", 7, "private-network (unique-local)"),
-    ("fe80::", 10, "link-local"),
+    ("127.0.0.0", 8),
+    ("10.0.0.0", 8),
+    ("172.16.0.0", 12),
+    ("192.168.0.0", 16),
+    ("169.254.0.0", 16),
+    ("::1", 128),
+    ("fc00::", 7),
+    ("fe80::", 10),
 )
 #: Entities decoded, in this order.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"))
 
+#: Parts of a page that are no text, the space that is left, and links.
+DROPPED = (r"(?i)<script\b[^>]*>[\s\S]*?</script>", r"(?i)<style\b[^>]*>[\s\S]*?</style>", r"<!--[\s\S]*?-->", "<[^>]+>")
+SPACES = ((r"[ \t\f\x0B]+", " "), (r"[ \t]*\n[ \t]*", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
+HREF = r"(?i)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']+)[\"']"
+
 
 def ipv4_number(ip: Column) -> Column:
     part = lambda i: F.try_element_at(F.split(ip, r"\."), F.lit(i)).cast("long")
@@ -38,7 +43,7 @@ def blocked_range(ip: Column) -> Column:
     """``network/bits`` of the first blocked range that holds an address; null if none does."""
     first = F.lit(None).cast("string")
     six = ip.contains(":")
-    for network, bits, _ in reversed(BLOCKED):
+    for network, bits in reversed(BLOCKED):
         if ":" in network:
             inside = six & (F.substring(F.conv(F.substring(ipv6_hex(ip), 1, 4), 16, 10), 1, 10).cast("int").bitwiseAND(((1 << bits) - 1) << (16 - bits)) == (0xFC00 if bits == 7 else 0xFE80)) if bits <= 16 else six & (ipv6_hex(ip) == "0" * 31 + "1")
         else:
@@ -52,11 +57,11 @@ def blocked_range(ip: Column) -> Column:
 def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags dropped, entities decoded, space normalised."""
     out = html
-    for pattern in (r"(?i)<script\b[^>]*>[\s\S]*?</script>", r"(?i)<style\b[^>]*>[\s\S]*?</style>", r"<!--[\s\S]*?-->", "<[^>]+>"):
+    for pattern in DROPPED:
         out = F.regexp_replace(out, pattern, " ")
     for name, plain in ENTITIES:
         out = F.regexp_replace(out, f"(?i){name}", plain)
-    for pattern, plain in ((r"[ \t\f\x0B]+", " "), (r"[ \t]*\n[ \t]*", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+    for pattern, plain in SPACES:
         out = F.regexp_replace(out, pattern, plain)
     return out
 
@@ -65,13 +70,40 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]*)", 1))
 
 
+def _plain_path(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; one that ends in them ends in a slash."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    joined = F.array_join(F.aggregate(F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/"))), F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(F.lit("/"), joined, F.when(path.rlike(r"/\.{1,2}$") & (joined != ""), "/").otherwise(""))).otherwise(path)
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """A link of a page as an absolute url without its fragment: another scheme or host, a rooted or relative path, a
+    query alone, or a fragment alone (the page itself)."""
+    link = F.regexp_replace(href, "#.*$", "")
+    origin, page = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]*)", 1), F.regexp_replace(base, "#.*$", "")
+    bare = F.regexp_replace(page, r"\?.*$", "")
+    folder = F.when(bare == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(bare, "/[^/]*$", "/"))
+    full = (
+        F.when(link == "", page)
+        .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), link))
+        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(bare, link))
+        .otherwise(F.concat(folder, link))
+    )
+    head, path, rest = F.regexp_extract(full, r"^([a-zA-Z]+://[^/?#]*)", 1), F.regexp_extract(full, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), F.regexp_extract(full, r"^[^?]*(\?.*)?$", 1)
+    return F.when(head == "", full).otherwise(F.concat(head, _plain_path(path), rest))
+
+
 def same_host_links(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, link): http links of a page to its own host, without fragments. Root-relative links are resolved."""
-    origin = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)
-    raw = pages.select("page_id", "url", origin.alias("origin"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))).alias("ord", "href"))
-    folder = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"/[^/]*$", "/")
-    full = F.when(F.col("href").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("href")).when(F.col("href").startswith("//"), F.concat(F.regexp_extract("url", "^([a-zA-Z]+:)", 1), "href")).when(F.col("href").startswith("/"), F.concat("origin", "href")).otherwise(F.concat(folder, "href"))
-    out = raw.select("page_id", "url", "ord", F.regexp_replace(full, "#.*$", "").alias("link"))
+    """(page_id, ord, link): http links of a page to its own host, resolved, without fragments."""
+    raw = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("ord", "href"))
+    out = raw.select("page_id", "url", "ord", resolved(F.col("url"), F.col("href")).alias("link"))
     return out.filter(F.col("link").rlike("^https?://") & (host(F.col("link")) == host(F.col("url")))).select("page_id", "ord", "link")
 
 

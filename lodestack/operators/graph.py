@@ -27,12 +27,13 @@ def focus(nodes: DataFrame, links: DataFrame, skip: Column) -> DataFrame:
     return every.orderBy("skipped", F.desc("degree"), "id").limit(1).select("id", "label", "degree")
 
 
-def matching(nodes: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """Nodes of which a column equals the query, case aside; only if there are none, those that contain it."""
+def matching(nodes: DataFrame, query: str, columns: list[str], partly: list[str] | None = None) -> DataFrame:
+    """Nodes of which a column equals the query, case aside; only if there are none, those that contain it, in the same
+    columns or in those given by ``partly``."""
     low = F.lit(query.lower())
-    any_of = lambda test: reduce(lambda a, b: a | b, (F.coalesce(test(F.lower(c)), F.lit(False)) for c in columns))
-    exact = nodes.filter(any_of(lambda c: c == low))
-    return nodes.filter(any_of(lambda c: F.contains(c, low))) if exact.isEmpty() else exact
+    any_of = lambda names, test: reduce(lambda a, b: a | b, (F.coalesce(test(F.lower(c)), F.lit(False)) for c in names))
+    exact = nodes.filter(any_of(columns, lambda c: c == low))
+    return nodes.filter(any_of(partly or columns, lambda c: F.contains(c, low))) if exact.isEmpty() else exact
 
 
 def touching(links: DataFrame, ids: DataFrame) -> DataFrame:
@@ -52,13 +53,15 @@ def labelled(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def traverse(links: DataFrame, start: DataFrame, depth: int | None, reverse: bool = False, paths: bool = False) -> DataFrame:
     """(id, parent, relation, depth): a row for each link from a node first reached one level before, also to nodes
-    already seen; a node is expanded once. Each level is written, so that the next does not recompute it; the loop ends
-    with the depth (None: no bound) or an empty frontier.
+    already seen; a node is expanded once. Links and each level are written, so that the next does not recompute them; the
+    loop ends with the depth (None: no bound) or an empty frontier.
 
     paths: also ``via``, the chain of links from the start in the links' own direction; a node reached by several links
     of a level goes on with the least chain.
     """
     here, there = ("target", "source") if reverse else ("source", "target")
+    if depth is None or depth > 1:
+        links = cut(links.select("source", "target", "relation"))  # once, not anew for every level
     way = [F.col("via")] if paths else []
     frontier = start.select("id", *([F.col("id").alias("via")] if paths else [])).distinct()
     seen, out = frontier.select("id"), None

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.textops import chunks, note_header
 
-TEXT_BYTES = 200_000
+TEXT_BYTES, PDF_BYTES = 200_000, 20_000_000
 EXTENSIONS = ("txt", "md", "pdf")
 
 
-def gates(docs: DataFrame, most: int = TEXT_BYTES) -> DataFrame:
+def gates(docs: DataFrame, most: int = TEXT_BYTES, most_pdf: int = PDF_BYTES) -> DataFrame:
     """(filename, text) with outcome: ok, unsupported_format, unsupported_parser (no PDF reader here) or too_large."""
     ext = F.lower(F.substring_index("filename", ".", -1))
-    kind = F.when(~ext.isin(*EXTENSIONS), "unsupported_format").when(F.octet_length("text") > most, "too_large").when(ext == "pdf", "unsupported_parser").otherwise("ok")
+    kind = F.when(~ext.isin(*EXTENSIONS), "unsupported_format").when(F.octet_length("text") > F.when(ext == "pdf", most_pdf).otherwise(most), "too_large").when(ext == "pdf", "unsupported_parser").otherwise("ok")
     return docs.withColumn("outcome", kind)
 
 
@@ -24,6 +24,12 @@ def chunk_rows(docs: DataFrame, most: int) -> DataFrame:
     return cut.select("doc_id", F.size("parts").alias("chunk_count"), F.posexplode("parts").alias("chunk_index", "text")).withColumn("ok", F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
 
 
+def chunk_specs(docs: DataFrame, most: int) -> DataFrame:
+    """(filename, tag, chunk_index, chunk_count, text) of docs(filename, tag, text): chunks as an index takes them."""
+    cut = docs.select("filename", "tag", chunks(F.col("text"), most).alias("parts"))
+    return cut.select("filename", "tag", F.size("parts").alias("chunk_count"), F.posexplode("parts").alias("chunk_index", "text"))
+
+
 def outcomes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("bad"))
     out = docs.select("doc_id").join(sums, "doc_id", "left")

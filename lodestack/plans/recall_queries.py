@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import hooks
 from lodestack.functions import textops as X
-from lodestack.operators import admin, gitevents, graph, lifecycle, linker, merge, recall, scopes, search, writes
+from lodestack.operators import admin, gitevents, graph, ingest, lifecycle, linker, merge, recall, scopes, search, writes
 from lodestack.plans.registry import FILES, LINKS, NODES, NOTES, ORACLES, QUERIES, SCORES, _keyword_hits, _vector_hits, query
 from lodestack.sources import tables as T
 
@@ -133,6 +133,13 @@ def graph_link_hits(spark, d):
     return graph.link_hits(links, T.nodes(spark, d), F.when(F.col("origin") == "supplier", F.lit(0.8)))
 
 
+@query(f"WITH {NODES} SELECT id, label FROM nodes WHERE kind = 'region'")
+def graph_match_file(spark, d):
+    """No node is named so; the files of some hold it."""
+    nodes = T.nodes(spark, d).withColumn("norm_label", F.lower("label")).withColumn("source_file", F.concat("kind", F.lit(".tbl")))
+    return graph.matching(nodes, "Region.TBL", ["id", "label", "norm_label"], ["label", "norm_label", "source_file"]).select("id", "label")
+
+
 PATHS = "paths AS (SELECT c_custkey, ['src/tests/a.ts', 'src/a.test.ts', 'src/latest.ts', 'app/FooTests.swift', 'x/specs/y.py', 'src/contest.py', NULL][c_custkey % 7 + 1] AS path FROM customer)"
 
 
@@ -386,6 +393,14 @@ walk(doc_id, k, lo, hi) AS (SELECT doc_id, -1, 0::BIGINT, 0::BIGINT FROM hexed W
   FROM walk w JOIN hexed USING (doc_id) WHERE w.hi < size),
 parts AS (SELECT doc_id, k AS chunk_index, hi - lo AS n_bytes, decode(unhex(substr(h, 2 * lo + 1, 2 * (hi - lo)))) AS piece FROM walk JOIN hexed USING (doc_id) WHERE k >= 0)"""
 ORACLES["chunk_documents"] = f"WITH {CHUNKED} SELECT doc_id, chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS chunk_count, n_bytes::INT AS n_bytes, sha256(piece) AS sha256 FROM parts"
+
+
+@query(f"WITH {CHUNKED} SELECT doc_id || '.md' AS filename, source AS tag, chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS chunk_count, md5(piece) AS digest FROM parts JOIN documents USING (doc_id)")
+def chunk_specs(spark, d):
+    docs = T.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), X.tag(F.col("source")).alias("tag"), "text")
+    return ingest.chunk_specs(docs, 4_000).select("filename", "tag", "chunk_index", "chunk_count", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 ORACLES["ingest_outcomes"] = f"WITH {CHUNKED} SELECT doc_id, count(piece) AS chunk_count, count(piece) FILTER (NOT regexp_matches(piece, '\\S')) AS failed, count(piece) FILTER (NOT regexp_matches(piece, '\\S')) = 0 AS ok FROM documents LEFT JOIN parts USING (doc_id) GROUP BY doc_id"
 ORACLES["crawl_frontier"] = (
     "WITH seeds AS (SELECT page_id, url, html FROM pages QUALIFY row_number() OVER (PARTITION BY lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) ORDER BY page_id) = 1), "

@@ -362,7 +362,7 @@ def _named_docs(spark, d):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'unsupported_format' WHEN strlen(text) > 20000 THEN 'too_large' WHEN doc_id % 4 = 2 THEN 'unsupported_parser' ELSE 'ok' END AS outcome FROM documents")
 def ingest_gates(spark, d):
-    return ingest.gates(_named_docs(spark, d), 20_000).select("doc_id", "outcome")
+    return ingest.gates(_named_docs(spark, d), 20_000, 20_000).select("doc_id", "outcome")
 
 
 @query()

@@ -182,3 +182,12 @@ def test_layers_by_name(spark):
     assert set(cascade.LAYERS) >= {"file", "keyword", "vector", "graph", "triples", "crossref"}
     out = cascade.with_fallback(lambda: spark.read.parquet("/nowhere"), lambda: files.select("doc_id"))
     assert out.first().degraded and not cascade.with_fallback(lambda: files.select("doc_id"), lambda: files).first().degraded
+
+
+def test_links_are_resolved_as_a_browser_does(spark):
+    base = "http://h.org/a/b/c.html?q=1#top"
+    links = {"#x": "http://h.org/a/b/c.html?q=1", "?p=2": "http://h.org/a/b/c.html?p=2", "d.html#y": "http://h.org/a/b/d.html", "../e": "http://h.org/a/e", "./f/./g/../h": "http://h.org/a/b/f/h", "../../../..": "http://h.org/", "/i?j=k/../l": "http://h.org/i?j=k/../l", "//other.org/x": "http://other.org/x", "https://h.org/z": "https://h.org/z", "mailto:a@b.c": "mailto:a@b.c"}
+    from lodestack.functions import net
+
+    rows = spark.createDataFrame([(base, h) for h in links], "b string, h string").select("h", net.resolved(F.col("b"), F.col("h")).alias("r")).collect()
+    assert {r.h: r.r for r in rows} == links
