@@ -125,7 +125,7 @@ def cascade(keys: DataFrame, most_bits: int = MOST_BITS) -> list[Level] | None:
         if used > most_bits:
             return None
         data = bytearray(-(-bits // (64 * WORDS)) * WORDS * 8)
-        for r in inside.mapInArrow(_build(number, bits), "at long, part binary").repartition("at").mapInArrow(_merge, "at long, part binary").toLocalIterator():  # bits / 8 bytes
+        for r in inside.mapInArrow(_build(number, bits), "at long, part binary").repartition("at").mapInArrow(_merge, "at long, part binary").collect():  # bits / 8 bytes
             data[r["at"] * WORDS * 8 : (r["at"] + 1) * WORDS * 8] = r["part"]
         level = Level(number, bits, bytes(data))
         levels.append(level)

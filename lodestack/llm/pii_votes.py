@@ -61,6 +61,26 @@ BLOCK = 128
 SPANS = "array<struct<start:int,end:int,value:string,before:string,left:string,right:string>>"
 
 
+def _in_blocks(values: Column) -> Column:
+    """An array that is not empty, as arrays of BLOCK values."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _apart(spans: Column, others: list[Column]) -> Column:
+    """Of spans those that overlap none of ``others``, arrays in order; these are searched by blocks."""
+    over = lambda s, first, last: (first["start"] < s["end"]) & (s["start"] < last["end"])
+
+    def free_of(spans: Column, other: Column) -> Column:
+        hit = lambda s, blocks: F.exists(blocks, lambda b: over(s, F.get(b, F.lit(0)), F.element_at(b, -1)) & F.exists(b, lambda o: over(s, o, o)))
+        free = let(_in_blocks(other), lambda blocks: F.filter(spans, lambda s: ~hit(s, blocks)))
+        return F.when((F.size(spans) > 0) & (F.size(other) > 0), free).otherwise(spans)
+
+    def of(spans: Column, rest: list[Column]) -> Column:
+        return let(free_of(spans, rest[0]), lambda left: of(left, rest[1:])) if rest else spans
+
+    return of(spans, others)
+
+
 def _upto(sizes: Column) -> Column:
     """Running sums of an array of integers."""
     return F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + n)))
@@ -74,7 +94,6 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
     def of_steps(steps: Column) -> Column:
         # steps: (gap, value) of every match; each block's total is summed first, and then the offsets within the block
         size = lambda s: s["gap"] + F.length(s["value"])
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
 
         def of_blocks(blocks: Column) -> Column:
             totals = _upto(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, s: a + size(s))))
@@ -91,7 +110,7 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
 
             return let(totals, of_totals)
 
-        return F.when(F.size(steps) > 0, let(blocks, of_blocks)).otherwise(F.array().cast(SPANS))
+        return F.when(F.size(steps) > 0, let(_in_blocks(steps), of_blocks)).otherwise(F.array().cast(SPANS))
 
     def of_gaps(gaps: Column) -> Column:
         def of_values(values: Column) -> Column:
@@ -222,15 +241,13 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
         return F.filter(_matches(F.col("body"), STRICT[kind], HINT[kind]), lambda s: _valid(kind, s["value"]))
 
     hits = docs.select("doc_id", body.alias("body")).select("doc_id", "body", *(strict(k).alias(k) for k in KINDS), *(_matches(F.col("body"), LOOSE[k], LOOSE_HINT[k]).alias(f"loose_{k}") for k in LOOSE))
-    apart = lambda s, others: ~F.exists(others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-    every = F.concat(*(F.col(k) for k in KINDS))
 
     def described_all(spans: Column, kind: str, is_strict: bool) -> Column:
         return F.transform(spans, lambda s: _described(s, kind, F.lit(is_strict)))
 
     described = [described_all(F.col(k), k, True) for k in KINDS]
     fits = lambda k, s: _valid(k, s["value"]) if k == "card" else F.lit(True)
-    described += [described_all(F.filter(f"loose_{k}", lambda s: fits(k, s) & apart(s, every)), k, False) for k in LOOSE]
+    described += [described_all(_apart(F.filter(f"loose_{k}", lambda s: fits(k, s)), [F.col(x) for x in KINDS]), k, False) for k in LOOSE]
     rows = keep(hits.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*described).alias("spans")), "pii-spans")
     order = F.array(*map(F.lit, KINDS))
     placed = lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("kind_at"), s["end"].alias("end"), s["kind"].alias("kind"))

@@ -366,7 +366,7 @@ def links(texts):
     return {i: 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1]) for i in texts if i % 2 == 0}
 
 
-@pytest.mark.parametrize("bounds", [{}, {"CROWD": 1}, {"HEAVY_LEAST": 2, "HEAVY_MOST": 10}, {"BROADCAST_IDS": 0}])
+@pytest.mark.parametrize("bounds", [{}, {"CROWD": 1, "HEAVY_LEAST": 2, "HEAVY_MOST": 10, "BROADCAST_IDS": 0}])
 def test_no_link_is_lost_at_any_bound(spark, monkeypatch, bounds):
     for name, value in bounds.items():
         monkeypatch.setattr(minhash, name, value)
@@ -403,3 +403,11 @@ def test_kept_tables_go(spark):
 
 def test_white_space_is_what_the_contract_says():
     assert sorted(np.flatnonzero(IS_WHITE)) == [9, 10, 11, 12, 13, 32]
+
+
+def test_overlaps_are_found_in_any_block(spark):
+    strict = [(7 * k, 7 * k + 3) for k in range(700)]
+    loose = [(k, k + 2) for k in range(0, 4_950, 3)]
+    df = spark.createDataFrame([(loose, strict, [])], "a array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>, c array<struct<start:int,end:int>>")
+    got = df.select(pii_votes._apart(F.col("a"), [F.col("b"), F.col("c"), F.col("b")]).alias("x")).first().x
+    assert [tuple(s) for s in got] == [(a, b) for a, b in loose if not any(x < b and a < y for x, y in strict)]
