@@ -339,7 +339,7 @@ def test_one_very_long_text(spark):
     assert len(long) > 20_000_000
     docs = frame(spark, [(1, long), (2, "a short text. It ends."), (3, long)]).repartition(3)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).select("doc_id", "component_id").collect()} == {1: 1, 2: 2, 3: 1}
-    assert {r.doc_id for r in sentence_spans.changed_documents(docs).select("doc_id", "n_removed").collect()} == {1, 3}
+    assert {r.doc_id for r in sentence_spans.changed_documents(docs).select("doc_id", "n_removed").collect()} == {3}
     n = {r.doc_id: r.n_tokens for r in lattice_lm.score(docs, PIECES).collect()}
     assert n == {1: 3_800_001, 2: 6, 3: 3_800_001}
     got = {r.doc_id: r.n_tokens for r in token_ids.read_dataset(*token_ids.write_dataset(docs, queries.word_tokenizer())).collect()}
