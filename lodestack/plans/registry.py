@@ -521,7 +521,7 @@ def persona_fallback(spark, d):
 
 @query("SELECT * FROM (VALUES (2, 'Graph', false), (3, 'Vector', true), (4, 'File doc store', true)) t(level, label, active)")
 def memory_levels(spark, d):
-    return T.table(spark, d, "region").limit(1).select(F.inline(admin.levels(["vector", "file"])))
+    return spark.range(1).select(F.inline(admin.levels(["vector", "file"])))
 
 
 @query("SELECT doc_id, 'a' || chr(10) || '<!-- managed:begin -->' || chr(10) || 'new' || chr(10) || '<!-- managed:end -->' || chr(10) || source AS text, 'new' AS body FROM documents")
