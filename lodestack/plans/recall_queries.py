@@ -289,7 +289,7 @@ def reconcile_count(spark, d):
 @query(
     """WITH a AS (SELECT c_custkey AS k, c_custkey % 6 AS m FROM customer)
 SELECT k, CASE m WHEN 0 THEN 'asked' WHEN 1 THEN 'prompted' WHEN 2 THEN '' ELSE 'T-' || k || '00' END AS query,
-CASE WHEN m = 4 THEN 'TK-1' WHEN m = 5 THEN 'TK-1,ST-2' WHEN m = 3 THEN 'T-' || k || '00' ELSE '' END AS identifiers,
+CASE WHEN m = 4 THEN 'TK-1' WHEN m = 5 THEN 'TK-1,ST-2' WHEN m = 3 AND length('T-' || k || '00') >= 6 THEN 'T-' || k || '00' ELSE '' END AS identifiers,
 CASE m WHEN 0 THEN 'reviewed' WHEN 1 THEN 'full-send' ELSE 'in-progress' END AS status,
 CASE m WHEN 0 THEN 2.5 WHEN 1 THEN 7.0 WHEN 2 THEN 7.0 ELSE k END::DOUBLE AS number,
 CASE m WHEN 0 THEN 'a' || chr(10) || chr(10) || 'c' ELSE 'a' || chr(10) || chr(10) || 'k ' || k || chr(10) || chr(10) || 'c' END AS topic,
