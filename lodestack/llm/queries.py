@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bloom_cascade, lattice_lm, line_cleaning, minhash, mixing, pii_votes, sentence_spans, subword_classifier, token_ids, winnowing
+from lodestack.llm import bloom_cascade, embedding_dedup, lattice_lm, line_cleaning, minhash, mixing, periodic_runs, pii_votes, sentence_spans, subword_classifier, token_ids, whitening, winnowing
 from lodestack.llm.oracles import ORACLES
 from lodestack.llm.shared import ship
 
@@ -81,6 +81,18 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
 
 
+def op11_kmeans_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), loops=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_source_mixing": op2_source_mixing,
@@ -92,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_minhash_join": op9_minhash_join,
     "op10_winnowing": op10_winnowing,
+    "op11_kmeans_dedup": op11_kmeans_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
