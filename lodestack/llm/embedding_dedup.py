@@ -5,7 +5,8 @@ fitted on about ``SAMPLE`` of its vectors for each centroid (at most ``FAN`` cen
 fit alone), and every vector is assigned; so cells stay small at any size of the table, at a cost in proportion to it and
 to the number of levels. A vector goes to its nearest centroid and to the next ones within ``MARGIN``, ``NEAR`` in all, so
 that neighbours across a border meet: links are found with the recall that the README states, none below the bound is
-made. A pair that meets in several cells counts in the least one.
+made. A pair that meets in several cells counts in the least one. A cell whose children would hold too much of it each,
+by its sample, is not split.
 
 Dense groups cost their size, not its square. Centroids closer than ``MERGED`` become one. Vectors within half the angle of
 the bound of their centroid are its core: any two of them are linked without a product, and all that can be linked with
@@ -38,7 +39,7 @@ CORE = math.cos(ANGLE / 2) + 1e-6
 GUEST = math.cos(1.5 * ANGLE) - 1e-6
 MERGED = 0.9
 SPLIT, A_CELL, FAN, SAMPLE, ROUNDS = 8192, 1024, 1024, 32, 8
-NEAR, MARGIN = 4, 0.25
+NEAR, MARGIN = 5, 0.25
 LEVELS = 8
 #: Rows that are assigned together, and rows of a block of a cell that cannot be split.
 A_GROUP, A_BLOCK = 8192, 4096
@@ -114,7 +115,10 @@ def spherical_kmeans(x: np.ndarray, k: int) -> np.ndarray:
 def _fitted(table: pa.Table) -> pa.Table:
     rows = table.sort_by([("h", "ascending"), ("id", "ascending")])
     x = _units(rows["vec"], rows["kind"][0].as_py())
-    c = spherical_kmeans(x, min(FAN, -(-rows["n"][0].as_py() // A_CELL)))
+    c = spherical_kmeans(x, rows["want"][0].as_py())
+    goes = np.bincount([j for cells, _ in assigned(x, c) for j in cells], minlength=len(c))
+    if (goes.astype(float) ** 2).sum() > 0.6 * float(len(x)) ** 2:  # more would be compared in the children than is saved
+        c = c[:1]
     return pa.table({"cell": pa.array([rows["cell"][0].as_py()]), "k": pa.array([len(c)], pa.int32()), "centroids": pa.array([c.tobytes()], pa.binary())})
 
 
@@ -226,8 +230,9 @@ def _with_cells(state: DataFrame, cells: DataFrame, n_cells: int) -> DataFrame:
 def _split(state: DataFrame, big: DataFrame, n_big: int, kind: str) -> tuple[DataFrame, DataFrame]:
     """The children of the rows of the big cells, and the big cells that k-means could not split."""
     rows = _with_cells(state, big, n_big).withColumn("kind", F.lit(kind))
-    share = F.lit(float(1 << 40)) * SAMPLE * F.least(F.lit(FAN), F.ceil(F.col("n") / A_CELL)) / F.col("n")
-    fitted = rows.filter(F.pmod("h", F.lit(1 << 40)) < share).select("cell", "n", "kind", "id", "h", "vec").groupBy("cell").applyInArrow(_fitted, "cell string, k int, centroids binary")
+    rows = rows.withColumn("want", F.least(F.lit(FAN), F.ceil(F.col("n") / A_CELL)).cast("int"))
+    share = F.lit(float(1 << 40)) * SAMPLE * F.col("want") / F.col("n")
+    fitted = rows.filter(F.pmod("h", F.lit(1 << 40)) < share).select("cell", "want", "kind", "id", "h", "vec").groupBy("cell").applyInArrow(_fitted, "cell string, k int, centroids binary")
     fitted = keep(fitted, "cells-fitted")
     groups = keep(big.join(fitted.select("cell", "k"), "cell", "left").withColumn("whole", F.coalesce(F.col("k"), F.lit(0)) < 2).withColumn("groups", F.ceil(F.col("n") / A_GROUP).cast("long")), "cells-groups")
     dealt = _with_cells(state, groups.filter("not whole").select("cell", "groups"), n_big).withColumn("g", F.pmod("h", "groups")).withColumn("kind", F.lit(kind)).drop("groups")

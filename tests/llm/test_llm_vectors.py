@@ -63,8 +63,8 @@ def test_one_cell_is_exact(spark):
 def test_cells_find_nearly_all_links_and_make_none(spark, monkeypatch):
     """Several levels of cells: no vector gets a link too many; dense groups and equal vectors are whole."""
     shared.ship(spark)
-    # closures are sent by value of the module's names on the workers, so sizes are set where the plan is made
-    monkeypatch.setattr(embedding_dedup, "SPLIT", 1500)
+    monkeypatch.setattr(embedding_dedup, "SPLIT", 512)
+    monkeypatch.setattr(embedding_dedup, "A_CELL", 64)
     ids, m = planted(4000)
     got, comp, links, components = both(spark, ids, m)
     assert (got <= links).all()
