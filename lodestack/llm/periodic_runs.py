@@ -112,25 +112,26 @@ def _true(ids: np.ndarray, runs: np.ndarray) -> bool:
     return all(np.array_equal(ids[s : e - q], ids[s + q : e]) for s, e, q in runs.tolist())
 
 
-def segment_runs(ids: np.ndarray) -> np.ndarray:
-    """Rows (start, end, period) of all runs of a sequence of word ids."""
+def segment_runs(ids: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Rows (start, end, period) of all runs of a sequence of word ids; longest: a bound on their length."""
     for seed in range(1 << 20):
-        runs = _main_lorentz(ids, _Agreement(ids, seed))
+        runs = _main_lorentz(ids, _Agreement(ids, seed), longest or len(ids))
         if _true(ids, runs):
             return runs
     raise RuntimeError("no bases told the words of a segment apart")
 
 
-def _main_lorentz(ids: np.ndarray, agreement: _Agreement) -> np.ndarray:
+def _main_lorentz(ids: np.ndarray, agreement: _Agreement, longest: int) -> np.ndarray:
     n, found = len(ids), np.zeros((0, 3), np.int64)
     over_end, over_period = np.zeros(n, np.int64), np.ones(n, np.int64)  # of a long run over each word
     over_size = np.zeros(n, np.int64)
     half = 8  # a block of 8 words holds no run
     while half < 2 * n:
-        pairs = (n + half - 1) // (2 * half) * half
+        wide = min(half, longest // 2)  # of no use: longer periods
+        pairs = (n + half - 1) // (2 * half) * wide
         for lo in range(0, pairs, _AT_ONCE):
             t = np.arange(lo, min(pairs, lo + _AT_ONCE), dtype=np.int64)
-            mid, p = t // half * (2 * half) + half, t % half + 1
+            mid, p = t // wide * (2 * half) + half, t % wide + 1
             new = []
             for i, j in ((mid, mid + p), (mid - p, mid)):
                 inside = np.flatnonzero(j < n)
@@ -153,30 +154,42 @@ def _main_lorentz(ids: np.ndarray, agreement: _Agreement) -> np.ndarray:
     return found
 
 
-def runs_of(hashes: np.ndarray) -> np.ndarray:
-    """Rows (start, end, period) of all runs of a sequence of word hashes, by start, then period."""
+def runs_of(hashes: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
+    """Rows (start, end, period) of all runs of a sequence of word hashes, by start, then period. doc: the number of each
+    word's document, rising; no run reaches over two of them. What survives the mask, of all documents, is one sequence
+    for Main-Lorentz, its words told apart by their segments."""
     n = len(hashes)
     if n < LEAST:
         return np.zeros((0, 3), np.int64)
+    doc = np.zeros(n, np.int64) if doc is None else doc
     with np.errstate(over="ignore"):
-        grams = np.zeros(n - K + 1, np.uint64)
+        mixed = mix(hashes)
+        grams = mix(doc[: n - K + 1].astype(np.uint64) + np.uint64(1))
         for k in range(K):
-            grams += mix(hashes[k : n - K + 1 + k]) * _GRAM[k]
-    order = np.argsort(grams, kind="stable")
+            grams += mixed[k : n - K + 1 + k] * _GRAM[k]
+    whole = np.flatnonzero(doc[: n - K + 1] == doc[K - 1 :])
+    order = whole[np.argsort(grams[whole], kind="stable")]
     same = grams[order[1:]] == grams[order[:-1]]
-    twice = np.zeros(n - K + 1, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.flatnonzero(twice), 1)
-    np.add.at(edge, np.flatnonzero(twice) + K, -1)
-    inside = np.diff(np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]]))
-    out = []
-    for s, e in zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True):
-        if e - s >= LEAST:
-            runs = segment_runs(np.unique(hashes[s:e], return_inverse=True)[1])
-            out.append(runs + np.array([s, s, 0]))
-    runs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    twice = np.zeros(n + 1, np.int8)
+    twice[order[1:][same]] = 1
+    twice[order[:-1][same]] = 1
+    held = np.flatnonzero(twice)
+    inside = np.zeros(n, bool)
+    for k in range(K):
+        inside[held + k] = True
+    cut = np.ones(n, bool)
+    cut[1:] = ~inside[:-1] | (doc[1:] != doc[:-1])
+    begins = np.flatnonzero(inside & cut)
+    at = np.flatnonzero(inside)
+    segment = np.searchsorted(begins, at, "right") - 1
+    at = at[np.bincount(segment, minlength=len(begins))[segment] >= LEAST] if len(at) else at
+    if not len(at):
+        return np.zeros((0, 3), np.int64)
+    segment = np.searchsorted(begins, at, "right") - 1
+    with np.errstate(over="ignore"):
+        ids = np.unique(mix(mixed[at] + mix(segment.astype(np.uint64))), return_inverse=True)[1]
+    runs = segment_runs(ids, int(np.bincount(segment).max()))
+    runs = np.stack([at[runs[:, 0]], at[runs[:, 1] - 1] + 1, runs[:, 2]], axis=1)
     return runs[np.lexsort((runs[:, 2], runs[:, 0]))]
 
 
@@ -201,10 +214,16 @@ def looped(n: int, doc_id: int | None) -> np.ndarray:
     return at
 
 
+#: Bytes of a text whose words are made objects all together.
+_SPLIT_AT_ONCE = 1 << 22
 COLUMNS = "n_words long, n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"
 
 
-def _joined_sha256(w: Words, at: np.ndarray) -> str:
+def _joined_sha256(w: Words, text: bytes, first: int, at: np.ndarray) -> str:
+    """Of the words ``at`` of a text whose words begin with number ``first``."""
+    if len(text) <= _SPLIT_AT_ONCE:
+        words = text.split()
+        return hashlib.sha256(b" ".join([words[i] for i in (at - first).tolist()])).hexdigest()
     digest = hashlib.sha256()
     for lo in range(0, len(at), 1 << 16):
         digest.update((b" " if lo else b"") + b" ".join([w.word(i) for i in at[lo : lo + (1 << 16)].tolist()]))
@@ -217,15 +236,22 @@ def _answers(batches: Iterator[pa.RecordBatch], loops: bool) -> Iterator[pa.Reco
         texts = byte_texts(batch.column(1))
         for lo, hi in in_chunks(texts):
             w = Words(texts[lo:hi], BYTE)
+            bounds = list(zip(w.first.tolist(), w.last.tolist(), strict=True))
+            at = np.arange(len(w.hashes))
+            if loops:
+                for k, (a, b) in enumerate(bounds):
+                    at[a:b] = a + looped(b - a, names[lo + k])
+            every = runs_of(w.hashes[at], w.doc)
+            kept = ~dropped(len(at), every)
+            of = np.searchsorted(every[:, 0], np.append(w.first, len(at)))
             rows = []
-            for k, (a, b) in enumerate(zip(w.first.tolist(), w.last.tolist(), strict=True)):
-                at = a + (looped(b - a, names[lo + k]) if loops else np.arange(b - a))
-                runs = runs_of(w.hashes[at])
+            for k, (a, b) in enumerate(bounds):
+                runs = every[of[k] : of[k + 1]] - np.array([a, a, 0])
                 size = runs[:, 1] - runs[:, 0]
                 best = tuple(x.tolist() for x in runs[np.lexsort((runs[:, 2], runs[:, 0], -size))[0]]) if len(runs) else None
                 listed = "".join(f"{s},{e - s},{q}\n" for s, e, q in runs.tolist())
                 longest = (best[0], best[1] - best[0], best[2], 1000 * (best[1] - best[0]) // best[2]) if best else (None,) * 4
-                rows.append((names[lo + k], b - a, len(runs), *longest, hashlib.sha256(listed.encode()).hexdigest(), _joined_sha256(w, at[~dropped(b - a, runs)])))
+                rows.append((names[lo + k], b - a, len(runs), *longest, hashlib.sha256(listed.encode()).hexdigest(), _joined_sha256(w, texts[lo + k], a, at[a:b][kept[a:b]])))
             kinds = [pa.int64()] * 7 + [pa.string()] * 2
             columns = ["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], columns)
