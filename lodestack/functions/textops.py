@@ -22,8 +22,8 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """A quarter token a character, rounded up; missing text has none."""
-    return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4).cast("long")
+    """A quarter token a UTF-16 unit, rounded up; missing text has none. Characters beyond U+FFFF have two units."""
+    return F.ceil(F.octet_length(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")) / 8).cast("long")
 
 
 def either(*values: Column) -> Column:

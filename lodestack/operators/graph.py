@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.operators.reach import reachable
 from lodestack.sources.shared import cut
 
 
@@ -151,7 +152,9 @@ def is_test_file(path: Column) -> Column:
 
 def ancestors(commits: DataFrame, tips: DataFrame, depth: int | None = None) -> DataFrame:
     """Every commit reachable from tips(id) over commits(source: child, target: parent), tips included; only by so many
-    levels where a depth is given."""
+    levels where a depth is given. Without one, a linear history takes as many rounds as its length has binary digits."""
+    if depth is None:
+        return reachable(commits, tips)
     reached = traverse(commits, tips, depth)
     return reached.select("id").unionByName(tips.select("id")).distinct()
 

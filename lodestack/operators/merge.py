@@ -54,10 +54,26 @@ def layer_rank(layer: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, F.lower(F.coalesce(layer, F.lit("")))), F.lit(4))
 
 
-def ranked(hits: DataFrame, within: str | None = None) -> DataFrame:
-    """Layer, then keyword matches, then score, then source and chunk, these by code points, not by a locale's order.
-    ``within``: rank each group by itself, as for hits already cut to a top list."""
-    order = [layer_rank(F.col("layer")), (F.coalesce("match_type", F.lit("")) != "keyword").cast("int"), F.coalesce("score", F.lit(0.0)).desc(), F.concat_ws("\u0000", F.coalesce("source", F.lit("")), F.coalesce(F.col("chunk").cast("string"), F.lit("")))]
+def ranked(hits: DataFrame, within: str | None = None, collation: str | None = None) -> DataFrame:
+    """Layer, then keyword matches, then score, then source and chunk: these by code points, or by a collation, as UNICODE,
+    in which accents and case come after letters; texts equal in it go by code points. ``within``: rank each group by
+    itself, as for hits already cut to a top list."""
+    name = F.concat_ws("\u0000", F.coalesce("source", F.lit("")), F.coalesce(F.col("chunk").cast("string"), F.lit("")))
+    if collation:
+        hits, name = in_collation(hits, name, collation)
+        out = ranked_by(hits, name, within)
+        return out.drop("_key")
+    return ranked_by(hits, [name], within)
+
+
+def in_collation(df: DataFrame, text: Column, collation: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with a key, and an order by that key, in which texts sort as the collation has them."""
+    keyed = df.withColumn("_key", text)
+    return keyed, [F.collate("_key", collation), F.col("_key")]
+
+
+def ranked_by(hits: DataFrame, name: list[Column], within: str | None) -> DataFrame:
+    order = [layer_rank(F.col("layer")), (F.coalesce("match_type", F.lit("")) != "keyword").cast("int"), F.coalesce("score", F.lit(0.0)).desc(), *name]
     if within is None:
         return numbered(hits, order)
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(within).orderBy(*order)))

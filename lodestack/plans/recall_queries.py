@@ -168,13 +168,13 @@ def crossref_usage_hits(spark, d):
 
 @query(
     """WITH RECURSIVE c AS (SELECT doc_id AS id, unnest([doc_id // 2, doc_id // 3]) AS p FROM documents WHERE doc_id > 0), up(id) AS (SELECT 700 UNION SELECT p FROM c JOIN up USING (id)),
-asked AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey <= 2000)
+asked AS (SELECT DISTINCT o_orderkey AS id FROM orders)
 SELECT id::VARCHAR AS id, CASE WHEN id IN (SELECT id FROM up) THEN 'ancestor' WHEN id IN (SELECT id FROM c UNION SELECT p FROM c) THEN 'other' ELSE 'unknown' END AS state FROM asked"""
 )
 def commit_states(spark, d):
     docs = T.table(spark, d, "documents").filter("doc_id > 0")
     commits = docs.select(F.col("doc_id").cast("string").alias("source"), F.explode(F.array(F.floor(F.col("doc_id") / 2).cast("string"), F.floor(F.col("doc_id") / 3).cast("string"))).alias("target"), F.lit("parent").alias("relation"))
-    asked = T.table(spark, d, "orders").filter("o_orderkey <= 2000").select(F.col("o_orderkey").cast("string").alias("id")).distinct()
+    asked = T.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id")).distinct()
     return graph.ancestry(commits, spark.createDataFrame([("700",)], "id string"), asked)
 
 
@@ -336,9 +336,11 @@ def context_first(spark, d):
     return graph.first_by(ranked, "repo", [F.col("kind"), F.col("doc_id")]).select("repo", "doc_id")
 
 
-@query("SELECT source AS repo, CASE WHEN length(t) > 4000 THEN left(t, 4000) || chr(10) || '…[truncated]' ELSE t END AS summary FROM (SELECT source, string_agg('## ' || doc_id || chr(10) || left(text, 300), chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents WHERE doc_id < 200 GROUP BY source)")
+@query("SELECT source AS repo, CASE WHEN length(t) > 4000 THEN left(t, 4000) || chr(10) || '…[truncated]' ELSE t END AS summary FROM (SELECT source, string_agg('## ' || doc_id || chr(10) || left(text, 300), chr(10) || chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY source)")
 def source_summaries(spark, d):
-    read = T.table(spark, d, "documents").filter("doc_id < 200").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 300).alias("excerpt")))).alias("r"))  # fewer than 200 excerpts
+    """A section has six characters at least, so the first 700 of a source are all that a summary can show of."""
+    first = search.top_of(T.table(spark, d, "documents").filter("text is not null"), "source", [F.col("doc_id")], hooks.SUMMARY_CHARS // 6 + 34)
+    read = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 300).alias("excerpt")))).alias("r"))
     named = F.transform("r", lambda s: F.struct(s["doc_id"].cast("string").alias("name"), s["excerpt"].alias("excerpt")))
     return read.select(F.col("source").alias("repo"), hooks.source_summary(named, F.array(F.lit("none"))).alias("summary"))
 

@@ -22,7 +22,7 @@ METRIC = "event string, runner string, timestamp timestamp, detail string"
 MANIFEST = "path string, area string, sha256 string, headings array<struct<level:int,text:string,line:int>>"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
@@ -33,7 +33,7 @@ TREE = "path string, area string, text string, modified timestamp"
 def text_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
     """(path, area, text, modified) of the files below a folder, ignored folders left out. Files that are no UTF-8 have
     null text; a folder that is not there is an empty table."""
-    if not _exists(spark, root):
+    if not exists(spark, root):
         return spark.createDataFrame([], TREE)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     if extensions:
@@ -57,14 +57,14 @@ def graph_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def metric_lines(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of run events; a missing file is an empty table."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], METRIC)
     return spark.read.schema(METRIC).json(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame | None:
     """A file index as written by ``write_manifest``; None where there is none."""
-    return spark.read.schema(MANIFEST).parquet(path) if _exists(spark, path) else None
+    return spark.read.schema(MANIFEST).parquet(path) if exists(spark, path) else None
 
 
 def write_manifest(index: DataFrame, path: str) -> None:
@@ -97,7 +97,7 @@ INVENTORY = "collection string, points long"
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """An inventory as ``writes.write_inventory`` left it; unlike other readers it fails where there is none."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"no inventory at {path}: write it first")
     return spark.read.schema(INVENTORY).json(path)
 
@@ -107,11 +107,11 @@ PERSONA = "tier string, scope_id string, display_name string, sections array<str
 
 def personas(spark: SparkSession, path: str) -> DataFrame:
     """Personas as ``writes.write_persona`` left them; none where there is no folder."""
-    return spark.read.schema(PERSONA).parquet(path) if _exists(spark, path) else spark.createDataFrame([], PERSONA)
+    return spark.read.schema(PERSONA).parquet(path) if exists(spark, path) else spark.createDataFrame([], PERSONA)
 
 
 ORG_TREE = "repo_path string, owner string, ord long"
 
 
 def org_tree(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ORG_TREE).json(path) if _exists(spark, path) else spark.createDataFrame([], ORG_TREE)
+    return spark.read.schema(ORG_TREE).json(path) if exists(spark, path) else spark.createDataFrame([], ORG_TREE)

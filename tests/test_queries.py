@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from lodestack.plans import recall_queries, registry
+from lodestack.plans import index_queries, registry
 
 FOLDER = "/root/testdata/sf0.001"
-assert recall_queries.QUERIES is registry.QUERIES
+assert index_queries.QUERIES is registry.QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
