@@ -36,8 +36,9 @@ STRICT = {
 }
 #: A text without a match of these has none of the pattern.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
+#: Looser ones; a run of an address is entered as above, so a long run is linear as well.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]++ ?[\[({]at[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({]dot[\])}] ?| dot )[A-Za-z0-9-]++)++|[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?[\[({]at[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({]dot[\])}] ?| dot )[A-Za-z0-9-]++)++|(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9./_])[0-9]{4}(?<sep>[./_]|\x20{2,3}|\x20-\x20)[0-9]{4}\k<sep>[0-9]{4}\k<sep>[0-9]{1,7}(?![0-9./_])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
