@@ -6,9 +6,11 @@ holds wrongly, level 3 the listed keys that level 2 holds wrongly, and so on unt
 first level that lacks a key then answers for every key of the universe exactly, so urls are judged without a join: one
 join, of the distinct keys with the list, tells the universe's listed keys when the cascade is built.
 
-Each level is a bit array of BITS bits an entry, built in tasks by ranges of WORDS 64-bit words, merged by bitwise or and
-sent to the driver as packed ranges: the bits themselves, not a row for each. Levels are broadcast while all together
-stay below MOST_BITS (32 MB); larger lists are matched by a join on the keys, which gives the same result.
+Level 1 is sized by the universe: it holds wrongly about as many other keys as are listed, which takes bits in proportion
+to the list and to the logarithm of the universe's size; so level 2 is no larger, however large the corpus. Deeper levels
+have BITS bits an entry. Levels are built in tasks by ranges of WORDS 64-bit words, merged by bitwise or and sent to the
+driver as packed ranges: the bits themselves, not a row for each. They are broadcast while all together stay below
+MOST_BITS (32 MB), as for some millions of rules; a longer list is matched by a join on the keys, with the same result.
 
 A null url, or one without ``://``, has an empty host and path and no keys; its verdict is the default. An empty rule list
 lets every url have the default. Of equal rules the last listed counts. Rows that repeat, and rows without an id, are
@@ -17,6 +19,7 @@ judged each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -113,6 +116,12 @@ def _still(level: Level):
     return run
 
 
+def first_bits(n: int, others: int) -> int:
+    """Bits of the first level, with n of its own keys, for it to hold about n of the others wrongly."""
+    rate = min(0.5, n / max(others, 1))
+    return math.ceil(n * max(BITS, HASHES / -math.log1p(-(rate ** (1 / HASHES))))) if n else 0
+
+
 def cascade(keys: DataFrame, most_bits: int = MOST_BITS) -> list[Level] | None:
     """keys(h, listed): distinct keys of the universe. Levels until one holds nothing wrongly; None if too large."""
     levels: list[Level] = []
@@ -120,7 +129,7 @@ def cascade(keys: DataFrame, most_bits: int = MOST_BITS) -> list[Level] | None:
     inside, outside = keys.filter("listed").select("h"), keys.filter("not listed").select("h")
     for number in range(1, LEVELS):
         n = inside.count()
-        bits = max(64, BITS * n)
+        bits = max(64, first_bits(n, outside.count()) if number == 1 else BITS * n)
         used += bits
         if used > most_bits:
             return None

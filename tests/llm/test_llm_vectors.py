@@ -1,4 +1,4 @@
-"""Embedding near-duplicates, whitening and periodic runs against brute force, and their edge cases."""
+"""Embedding near-duplicates, whitening and periodic runs against brute force, and their edge cases; sizes of others."""
 
 import hashlib
 import math
@@ -6,8 +6,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestack.llm import embedding_dedup, periodic_runs, queries, shared, whitening
+from lodestack.llm import bloom_cascade, embedding_dedup, periodic_runs, pii_votes, queries, shared, whitening
 from lodestack.llm.text import mix
 
 FOLDER = "/root/testdata/sf0.001"
@@ -241,3 +242,31 @@ def test_collapse_keeps_first_periods(spark):
     df = spark.createDataFrame([(1, "start " + "do re mi " * 5 + "end"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: (r.collapsed, [tuple(x) for x in r.runs]) for r in periodic_runs.collapse(df).collect()}
     assert got == {1: ("start do re mi end", [(1, 15, 3)]), 2: ("", [])}
+
+
+# ---------------------------------------------------------------- bounds of earlier operators
+
+
+def test_a_few_rules_take_few_bits(spark):
+    """Four listed keys among a million: the cascade is sized by the list, and exact."""
+    shared.ship(spark)
+    keys = spark.range(1_000_000).select(F.xxhash64("id").alias("h"), F.col("id").isin(5, 77, 4_000, 999_999).alias("listed"))
+    levels = bloom_cascade.cascade(keys)
+    assert sum(x.bits for x in levels) < 8 * 10_000
+    rows = keys.toPandas()
+    assert (bloom_cascade.listed(levels, rows.h.to_numpy().view(np.uint64)) == rows.listed.to_numpy()).all()
+    assert bloom_cascade.first_bits(4, 4 * 10**12) < 8 * 1_000 and bloom_cascade.first_bits(10**6, 10**13) < bloom_cascade.MOST_BITS
+
+
+def test_long_runs_of_address_characters(spark):
+    """Two megabytes without a break, before an address that is spelled out: linear, and the address is found."""
+    import time
+
+    shared.ship(spark)
+    text = "x" * 2_000_000 + " dot mail mary (at) site dot com or jo at home dot org"
+    found = pii_votes._matches(F.col("text"), pii_votes.LOOSE["email"], pii_votes.LOOSE_HINT["email"])
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").select(found.alias("m"))
+    began = time.time()
+    got = df.first().m
+    assert time.time() - began < 20
+    assert [text[s.start : s.end] for s in got] == ["mary (at) site dot com", "jo at home dot org"]
