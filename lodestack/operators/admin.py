@@ -52,10 +52,19 @@ def run_metrics(events: DataFrame) -> DataFrame:
     return out.withColumn("fallback_rate", F.coalesce(F.round(F.try_divide("fallbacks", "attempts"), 6), F.lit(0.0)))
 
 
-def levels(names: list[str]) -> Column:
-    """array<struct<level, label, active>> for a set of configured layers."""
-    on = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    return F.array(*(F.struct(F.lit(i).alias("level"), F.lit(label).alias("label"), F.arrays_overlap(F.array(*map(F.lit, served)), on).alias("active")) for i, label, served in LEVELS))
+def levels_of(configured: DataFrame) -> DataFrame:
+    """(scope, level, label, active) of configured(scope, layer): a row for each scope and level. Layers that no level has
+    count for none; a scope that names only such has all its levels inactive."""
+    known = F.col("layer").isin(*(x for _, _, served in LEVELS for x in served))
+    on = configured.groupBy("scope").agg(F.collect_set(F.when(known, F.col("layer"))).alias("on"))  # as many as there are names of layers
+    rows = F.array(*(F.struct(F.lit(i).alias("level"), F.lit(label).alias("label"), F.arrays_overlap(F.array(*map(F.lit, served)), "on").alias("active")) for i, label, served in LEVELS))
+    return on.select("scope", F.inline(rows))
+
+
+def config_report(answers: DataFrame) -> DataFrame:
+    """(config, hits, tokens, avg_latency) of recall answers(config, hits, tokens, latency), one an answer; a null latency
+    counts in no average."""
+    return answers.groupBy("config").agg(F.sum("hits").alias("hits"), F.round(F.sum("tokens"), 4).alias("tokens"), F.round(F.avg("latency"), 4).alias("avg_latency"))
 
 
 def with_fallback(wanted: DataFrame, stored: DataFrame, defaults: DataFrame) -> DataFrame:

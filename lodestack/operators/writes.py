@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.textops import FLIGHT, chunks, flight, note_header, spliced
 from lodestack.operators.scopes import COLLECTION_NAME, SCOPE_NAME, violations
+from lodestack.sources.readers import exists
+from lodestack.sources.shared import cut
+from lodestack.streaming.index import write_epoch
 
 #: Chunks of a note's index.
 CHUNK_BYTES = 4_000
@@ -81,6 +84,27 @@ def new_edges(edges: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.dropDuplicates(key).join(edges.select(*key), key, "left_anti").select(*edges.columns)
 
 
+def append_edges(path: str, wanted: DataFrame) -> int:
+    """Insert-if-absent into an edge table in a folder, made if it is not there; returns how many edges were new. New edges
+    are written once before they are appended, so the append does not read what it writes to."""
+    spark = wanted.sparkSession
+    held = spark.read.schema(wanted.schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], wanted.schema)
+    fresh = cut(new_edges(held, wanted), "edges")
+    n = fresh.count()
+    if n:
+        fresh.write.mode("append").parquet(path)
+    return n
+
+
+def bulk_index(files: DataFrame, target: str, epoch: int, most_bytes: int, most: int = CHUNK_BYTES) -> DataFrame:
+    """``bulk_indexed`` of files(path, text), and those without an error written to a continuous index as one epoch. What
+    failed keeps its version of before."""
+    outcome = cut(bulk_indexed(files, most_bytes, most), "outcome")
+    good = files.select("path", "text").join(outcome.filter("error is null").select("path"), "path", "left_semi")
+    write_epoch(good.withColumn("modified", F.lit(None).cast("timestamp")), epoch, target, most)
+    return outcome
+
+
 def bulk_indexed(files: DataFrame, most_bytes: int, most: int = CHUNK_BYTES) -> DataFrame:
     """(path, n_chunks, error) of files(path, text): every file has its outcome and none stops the others. A text that is
     no UTF-8 (null), is blank or is too large is an error."""

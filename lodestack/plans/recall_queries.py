@@ -366,7 +366,7 @@ def collection_names(spark, d):
 @query("SELECT event_type AS config, count(*) AS hits, round(sum(value), 4) AS tokens, round(avg(value), 4) AS avg_latency FROM events GROUP BY event_type")
 def config_report(spark, d):
     v = F.col("value")
-    return T.table(spark, d, "events").groupBy(F.col("event_type").alias("config")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum(v), 4).alias("tokens"), F.round(F.avg(v), 4).alias("avg_latency"))
+    return admin.config_report(T.table(spark, d, "events").select(F.col("event_type").alias("config"), F.lit(1).alias("hits"), v.alias("tokens"), v.alias("latency")))
 
 
 @query("SELECT s_suppkey AS scope_id, ['meta', 'enterprise', 'project'][s_suppkey % 3 + 1] AS tier FROM supplier WHERE s_suppkey % 4 <> 0")

@@ -519,9 +519,17 @@ def persona_fallback(spark, d):
     return admin.with_fallback(c.select("tier", "scope_id"), c.filter(F.pmod("scope_id", F.lit(3)) == 0), defaults)
 
 
-@query("SELECT * FROM (VALUES (2, 'Graph', false), (3, 'Vector', true), (4, 'File doc store', true)) t(level, label, active)")
+_LAYER = {"view": "vector", "click": "graph", "purchase": "file", "signup": "keyword", "error": "none"}
+
+
+@query(
+    """WITH c AS (SELECT user_id AS scope, CASE event_type WHEN 'view' THEN 'vector' WHEN 'click' THEN 'graph' WHEN 'purchase' THEN 'file' WHEN 'signup' THEN 'keyword' ELSE 'none' END AS layer FROM events)
+SELECT scope, level, label, bool_or(list_contains(served, layer)) AS active FROM c, (VALUES (2, 'Graph', ['graph', 'code-graph']), (3, 'Vector', ['vector', 'keyword']), (4, 'File doc store', ['file'])) t(level, label, served) GROUP BY ALL"""
+)
 def memory_levels(spark, d):
-    return spark.range(1).select(F.inline(admin.levels(["vector", "file"])))
+    """The layers that each user has touched, as those configured for a scope."""
+    layer = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in _LAYER.items() for x in pair)), "event_type"), F.lit("none"))
+    return admin.levels_of(T.table(spark, d, "events").select(F.col("user_id").alias("scope"), layer.alias("layer")))
 
 
 @query("SELECT doc_id, 'a' || chr(10) || '<!-- managed:begin -->' || chr(10) || 'new' || chr(10) || '<!-- managed:end -->' || chr(10) || source AS text, 'new' AS body FROM documents")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions.textops import tokens
-from lodestack.operators import graph, merge, reach, search, text_index, vector_index
+from lodestack.operators import admin, graph, merge, reach, search, text_index, vector_index, writes
 from lodestack.plans import index_queries
 from lodestack.sources import tables as T
 from lodestack.sources.shared import cut, drop_cuts
@@ -212,6 +212,32 @@ def test_continuous_index_is_an_upsert(spark, tmp_path):
     assert {r.path for r in index.files(spark, str(tmp_path / "fresh")).collect()} == {"a", "b", "e"}
 
 
+def test_edges_are_appended_once(spark, tmp_path):
+    path = str(tmp_path / "edges")
+    edges = lambda *rows: spark.createDataFrame(rows, "src string, predicate string, dst string, origin string")
+    assert writes.append_edges(path, edges(("a", "in", "b", "x"), ("a", "in", "b", "x"), ("a", "of", "b", "x"))) == 2
+    assert writes.append_edges(path, edges(("a", "in", "b", "y"), ("c", "in", "b", "y"))) == 1
+    assert writes.append_edges(path, edges(("c", "in", "b", "y"))) == 0
+    assert sorted((r.src, r.predicate, r.origin) for r in spark.read.parquet(path).collect()) == [("a", "in", "x"), ("a", "of", "x"), ("c", "in", "y")]
+
+
+def test_bulk_index_writes_what_is_good(spark, tmp_path):
+    target = str(tmp_path / "index")
+    files = lambda *rows: spark.createDataFrame(rows, "path string, text string")
+    first = writes.bulk_index(files(("a", "one"), ("b", "two"), ("c", "x" * 50), ("d", None), ("e", " ")), target, 0, most_bytes=20)
+    assert {(r.path, r.n_chunks, r.error) for r in first.collect()} == {("a", 1, None), ("b", 1, None), ("c", 0, "too_large"), ("d", 0, "unreadable"), ("e", 0, "empty")}
+    writes.bulk_index(files(("a", "new"), ("b", None)), target, 1, most_bytes=20)
+    assert {(r.path, r.text) for r in index.current(spark, target).collect()} == {("a", "new"), ("b", "two")}
+
+
+def test_levels_and_reports_of_tables(spark):
+    configured = spark.createDataFrame([("s", "vector"), ("s", "file"), ("s", "vector"), ("t", "no layer"), ("t", None)], "scope string, layer string")
+    got = {(r.scope, r.level): r.active for r in admin.levels_of(configured).collect()}
+    assert got == {("s", 2): False, ("s", 3): True, ("s", 4): True, ("t", 2): False, ("t", 3): False, ("t", 4): False}
+    answers = spark.createDataFrame([("a", 2, 10, 1.0), ("a", 3, 5, None), ("b", 0, 0, 4.0)], "config string, hits int, tokens int, latency double")
+    assert {tuple(r) for r in admin.config_report(answers).collect()} == {("a", 5, 15, 1.0), ("b", 0, 0, 4.0)}
+
+
 # ---------------------------------------------------------------- graphs, order, tokens
 
 
