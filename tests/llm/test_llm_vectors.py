@@ -270,3 +270,18 @@ def test_long_runs_of_address_characters(spark):
     got = df.first().m
     assert time.time() - began < 20
     assert [text[s.start : s.end] for s in got] == ["mary (at) site dot com", "jo at home dot org"]
+
+
+def test_pipeline_is_its_stages(spark, tmp_path):
+    """``run`` gives what the stages give when each is written and read by hand."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    sizes = [docs.count()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        sizes.append(docs.count())
+    got = corpus_pipeline.run(spark, FOLDER)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.select(*got.columns).collect()))
+    assert sizes[0] > sizes[1] > sizes[2] > sizes[3] > 0 and sizes[4] == sizes[5]
