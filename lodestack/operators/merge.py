@@ -23,7 +23,7 @@ def hybrid(vector: DataFrame, keyword: DataFrame) -> DataFrame:
     both = v.join(k, same[0] & same[1] & same[2], "full_outer")
     kind = F.when(F.col("k.ord").isNull(), "semantic").when(F.col("v.ord").isNull(), "keyword").otherwise("both")
     out = both.select(*(F.coalesce(f"v.{c}", f"k.{c}").alias(c) for c in ("scope", "source", "chunk")), F.col("v.score").alias("score"), kind.alias("match_type"), F.col("v.ord").isNull().cast("int").alias("late"), F.coalesce("v.ord", "k.ord").alias("o"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy("late", "o"))).drop("late", "o")
+    return numbered(out, [F.col("late"), F.col("o")], "scope").drop("late", "o")
 
 
 def dedupe(hits: DataFrame) -> DataFrame:
@@ -33,14 +33,20 @@ def dedupe(hits: DataFrame) -> DataFrame:
     return out.filter("n = 1").select("source", "chunk", "layer", "ord", F.array_join(F.array_sort(F.array_except("layers", F.array("layer"))), ",").alias("also_matched"))
 
 
-def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """``df`` with ``rank``, from 1, in one order over all rows. Rows are dealt by ranges of the order and numbered within
-    them, so no task has them all; the ranges are written once, as their bounds come from a sample."""
-    placed = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row a range
-    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return placed.withColumn("_own", own).join(before, "_range").withColumn("rank", (F.col("_before") + F.col("_own")).cast("int")).drop("_range", "_own", "_before")
+def numbered(df: DataFrame, order: list[Column], within: str | None = None) -> DataFrame:
+    """``df`` with ``rank``, from 1, in one order over all rows, or over those of each value of a column. Rows are dealt by
+    ranges of the order and numbered within them, so no task has them all, nor all of a frequent value; the ranges are
+    written once, as their bounds come from a sample."""
+    keys = [within] if within else []
+    placed = cut(df.repartitionByRange(*map(F.col, keys), *order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("n"))  # a row a range, and one more where a value ends in it
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("_range").alias("_r"), *(F.col(k).alias("_k") for k in keys), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    numbers = placed.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_k"))
+    return numbers.join(before, same).withColumn("rank", (F.col("_before") + F.col("_own")).cast("int")).select(*df.columns, "rank")
 
 
 def by_source(hits: DataFrame) -> DataFrame:

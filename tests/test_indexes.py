@@ -273,6 +273,17 @@ def test_cycles_are_told(spark):
         graph.ancestors(edges, spark.createDataFrame([(1,)], "id long"))
 
 
+def test_ranks_of_a_frequent_scope(spark):
+    """Numbers within each scope, null among them, though a scope lies in many ranges."""
+    scope = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 7).cast("string"))
+    df = spark.range(3_000).select(scope.alias("scope"), (F.col("id") * 7919 % 3001).alias("o"))
+    got = sorted((r.scope or "", r.rank, r.o) for r in merge.numbered(df, [F.col("o")], "scope").collect())
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.scope or "", []).append(r.o)
+    assert got == sorted((k, i + 1, o) for k, v in by.items() for i, o in enumerate(sorted(v)))
+
+
 @pytest.mark.parametrize("within", [None, "scope"])
 def test_ranks_in_a_locale(spark, within):
     names = ["Zebra", "apple", "Éclair", "eclair", "Apple", "zebra", "banana"]
