@@ -6,7 +6,9 @@ is the file's, mixed with the share that expectation-maximisation over all segme
 vocabulary beside the pieces: a word's count less an absolute discount; what is discounted goes to the pieces that spell
 it. A document's probability is the marginal over every segmentation of its words, whole or spelled, by a forward
 recursion in log space; no piece spans a word break, so the recursion runs once for each distinct word of the corpus.
-Byte pieces make every text possible.
+Byte pieces make every text possible. Words of LONG_WORD bytes and more (texts without white space) are parted where no
+piece crosses, and run by windows of places: their memory is the word's bytes, and 8 bytes for each byte of a stretch
+that has no such places while its pieces are counted.
 
 Distinct words, with their counts in the training documents, are gathered by a shuffle. The HEAVY_WORDS most frequent
 are looked up where the documents are read; the rest, few of each document's tokens, meet their documents by a join.
@@ -19,6 +21,7 @@ file's scores. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, inf, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +30,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.shared import drop_kept, keep
-from lodestack.llm.text import BASE, BASE_INV, BYTE, BYTE_LOWER, Words, byte_texts, in_chunks, mix, powers
+from lodestack.llm.text import BASE, BASE_INV, BYTE, BYTE_LOWER, Words, byte_texts, hash_spans, in_chunks, mix, powers
 
 HEAVY_WORDS = 120_000
 ROUNDS = 3
 #: The part of the pieces' weight that is shared out by the file's scores; the rest by expected counts.
 FILE_SHARE = 0.2
 CELLS = 1 << 19
-#: Words that a task works on together, so that words of one length are many.
-GROUP = 60_000
+#: Words that a task works on together, so that words of one length are many, and their bytes.
+GROUP, GROUP_BYTES = 60_000, 32 << 20
+#: Bytes of a word from which it is cut where no piece crosses; of a stretch without such cuts from which it goes place by place.
+LONG_WORD, LONG_STRETCH = 512, 512
+#: Places of a long word looked at together.
+PLACES = 1 << 16
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -136,30 +143,142 @@ def lattice(rows: np.ndarray, pieces: Pieces, weights: np.ndarray | None = None)
     return ahead[length], np.bincount(np.concatenate(which), np.concatenate(used), minlength=len(pieces.keys))
 
 
-def by_length(words: pa.Array, pieces: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, byte rows) of binary values of one length, each after a space, few enough to stay small."""
-    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
-    sizes = np.diff(offsets)
+def by_length(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pieces: Pieces, before: bytes = b"") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, byte rows) of spans of one length, each after the bytes ``before``, few enough to stay small."""
     order = np.argsort(sizes, kind="stable")
     ranked = sizes[order]
-    lo = 0
+    lo, pad = 0, len(before)
     while lo < len(order):
-        size = int(ranked[lo]) + 1
-        hi = min(int(np.searchsorted(ranked, size - 1, "right")), lo + max(1, CELLS // (size * min(size, pieces.longest))))
+        size = int(ranked[lo]) + pad
+        hi = min(int(np.searchsorted(ranked, size - pad, "right")), lo + max(1, CELLS // (size * min(size, pieces.longest))))
         at = order[lo:hi]
-        rows = np.full((len(at), size), 32, np.uint8)
-        rows[:, 1:] = data[offsets[at][:, None] + np.arange(size - 1)]
+        rows = np.empty((len(at), size), np.uint8)
+        rows[:, :pad] = np.frombuffer(before, np.uint8)
+        rows[:, pad:] = data[starts[at][:, None] + np.arange(size - pad)]
         yield at, rows
         lo = hi
 
 
+def stretches(data: np.ndarray, pieces: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(begins, ends) of the stretches of a byte string between places that no piece crosses, by windows of places. Every
+    segmentation has a cut at such a place, so marginals multiply."""
+    n, reached, open_at = len(data), 0, 0
+    for lo in range(0, n, PLACES):
+        hi = min(n, lo + PLACES)
+        sums, inverse = _sums(data[None, lo : min(n, hi + pieces.longest - 1)])
+        far = np.arange(lo + 1, hi + 1)  # where the longest piece from each place ends; each byte is a piece
+        for d in range(2, min(pieces.longest, sums.shape[1] - 1) + 1):
+            at = np.flatnonzero(pieces.find(_keys_of(sums, inverse, d)[0, : hi - lo]) >= 0)
+            far[at] = lo + at + d
+        far = np.maximum(np.maximum.accumulate(far), reached)
+        reached = int(far[-1])
+        cuts = np.flatnonzero(far == np.arange(lo + 1, hi + 1)) + lo + 1
+        if len(cuts):
+            yield np.append(open_at, cuts[:-1]), cuts
+            open_at = int(cuts[-1])
+
+
+def _places(data: np.ndarray, lo: int, hi: int, pieces: Pieces) -> list[list[tuple[int, int]]]:
+    """(length, piece) of the pieces from each place of data[lo:hi]."""
+    sums, inverse = _sums(data[None, lo : min(len(data), hi + pieces.longest - 1)])
+    out: list[list[tuple[int, int]]] = [[] for _ in range(hi - lo)]
+    for d in range(1, min(pieces.longest, sums.shape[1] - 1) + 1):
+        found = pieces.find(_keys_of(sums, inverse, d)[0, : hi - lo])
+        at = np.flatnonzero(found >= 0)
+        for i, f in zip(at.tolist(), found[at].tolist(), strict=True):
+            out[i].append((d, f))
+    return out
+
+
+def _add(x: float, y: float) -> float:
+    """log(exp(x) + exp(y))"""
+    if x < y:
+        x, y = y, x
+    return x if y == -inf else x + log1p(exp(y - x))
+
+
+def place_by_place(data: np.ndarray, pieces: Pieces, counted: np.ndarray | None = None, weight: float = 1.0) -> float:
+    """Log marginal of one long byte string, by windows of places; with ``counted``, expected counts are added to it,
+    which takes the forward values, 8 bytes a place."""
+    n, logp = len(data), pieces.logp.tolist()
+    windows = range(0, n, PLACES)
+    kept = np.empty(n + 1) if counted is not None else None
+    ahead = [0.0] + [-inf] * pieces.longest
+    for lo in windows:
+        hi = min(n, lo + PLACES)
+        ahead += [-inf] * (hi - lo)
+        for i, at in enumerate(_places(data, lo, hi, pieces)):
+            here = ahead[i]
+            for d, f in at:
+                ahead[i + d] = _add(ahead[i + d], here + logp[f])
+        if kept is not None:
+            kept[lo:hi] = ahead[: hi - lo]
+        ahead = ahead[hi - lo :]
+    total = ahead[0]
+    if kept is None:
+        return total
+    back = [0.0] + [-inf] * pieces.longest  # of the places from hi on
+    for lo in reversed(windows):
+        hi = min(n, lo + PLACES)
+        back = [-inf] * (hi - lo) + back
+        forward, used, which = kept[lo:hi].tolist(), [], []
+        at = _places(data, lo, hi, pieces)
+        for i in range(hi - lo - 1, -1, -1):
+            here, rest = -inf, forward[i] - total
+            for d, f in at[i]:
+                value = back[i + d] + logp[f]
+                here = _add(here, value)
+                which.append(f)
+                used.append(rest + value)
+            back[i] = here
+        np.add.at(counted, which, np.exp(used) * weight)
+        back = back[: pieces.longest + 1]
+    return total
+
+
+def long_word(data: np.ndarray, pieces: Pieces, counted: np.ndarray | None = None) -> float:
+    """Log marginal of a word of any length: equal stretches between cuts once, long ones place by place."""
+    total = 0.0
+    for starts, ends in stretches(data, pieces):
+        for i in np.flatnonzero(ends - starts > LONG_STRETCH):
+            total += place_by_place(data[starts[i] : ends[i]], pieces, counted)
+        short = np.flatnonzero(ends - starts <= LONG_STRETCH)
+        _, first, times = np.unique(hash_spans(data, starts[short], ends[short], BYTE), return_index=True, return_counts=True)
+        first = short[first]
+        for at, rows in by_length(data, starts[first], (ends - starts)[first], pieces):
+            logs, used = lattice(rows, pieces, None if counted is None else times[at].astype(float))
+            total += float(logs @ times[at])
+            if counted is not None:
+                counted += used
+    return total
+
+
+def spans_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of binary values and the offsets of each."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8), offsets
+
+
+def marginals(words: pa.Array, pieces: Pieces, counted: np.ndarray | None = None) -> np.ndarray:
+    """Log marginal of each word after a space; expected counts are added to ``counted``."""
+    data, offsets = spans_of(words)
+    sizes, out = np.diff(offsets), np.empty(len(words))
+    short = np.flatnonzero(sizes < LONG_WORD)
+    for at, rows in by_length(data, offsets[short], sizes[short], pieces, b" "):
+        out[short[at]], used = lattice(rows, pieces, None if counted is None else np.ones(len(at)))
+        if counted is not None:
+            counted += used
+    for i in np.flatnonzero(sizes >= LONG_WORD):
+        out[i] = long_word(np.append(np.uint8(32), data[offsets[i] : offsets[i + 1]]), pieces, counted)
+    return out
+
+
 def grouped(batches: Iterator[pa.RecordBatch], most: int = GROUP) -> Iterator[pa.RecordBatch]:
-    """Batches of at least ``most`` rows, but for the last."""
+    """Batches of at least ``most`` rows or GROUP_BYTES, but for the last."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(map(len, held)) >= most:
+        if sum(map(len, held)) >= most or sum(b.nbytes for b in held) >= GROUP_BYTES:
             yield pa.concat_batches(held)
             held = []
     if held:
@@ -184,8 +303,7 @@ def _expect(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(pieces.keys))
         for batch in grouped(batches):
-            for at, rows in by_length(batch.column(0), pieces):
-                sums += lattice(rows, pieces, np.ones(len(at)))[1]
+            marginals(batch.column(0), pieces, sums)
         seen = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(sums[seen])], ["piece", "n"])
 
@@ -195,12 +313,11 @@ def _expect(pieces: Pieces):
 def _marginals(pieces: Pieces, discount: float, total: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches):
-            out, keys, c = np.empty(len(batch)), np.empty(len(batch), np.uint64), batch.column(1).to_numpy()
-            for at, rows in by_length(batch.column(0), pieces):
-                whole = np.maximum(c[at] - discount, 0) / total
-                with np.errstate(divide="ignore"):
-                    out[at] = np.logaddexp(np.log(whole), lattice(rows, pieces)[0])
-                keys[at] = _keys_of(*_sums(rows[:, 1:]), rows.shape[1] - 1)[:, 0]  # as Words has it
+            whole = np.maximum(batch.column(1).to_numpy() - discount, 0) / total
+            with np.errstate(divide="ignore"):
+                out = np.logaddexp(np.log(whole), marginals(batch.column(0), pieces))
+            data, offsets = spans_of(batch.column(0))
+            keys = hash_spans(data, offsets[:-1], offsets[1:], BYTE)  # as Words has it: words are lower-cased
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns[1:], pa.array(out)], ["h", "c", "n", "logp"])
 
     return run
