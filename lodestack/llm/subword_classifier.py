@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.lattice_lm import held_out
-from lodestack.llm.text import BASE, BASE_INV, byte_texts, in_chunks, mix
+from lodestack.llm.text import BASE, BASE_INV, byte_texts, in_chunks, mix, powers
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
@@ -28,40 +28,48 @@ DIMENSIONS = 8
 FIT_ROWS, FIT_BYTES = 4_000, 16 << 20
 EPOCHS = 6
 RATE = 0.5
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text index) of each word and of each character n-gram within a word and the spaces around it."""
-    parts = [b" " + t + b" " for t in texts]
-    points = [np.frombuffer(t.decode().encode("utf-32-le"), "<u4") for t in parts]
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in points])
-    p = np.concatenate(points) if points else np.zeros(0, "<u4")
-    white = (p == 32) | ((p >= 9) & (p <= 13))
-    p = np.where(white, 32, p).astype(np.uint64)
-    n = len(p)
-    sums, spaces = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.int64)
-    np.cumsum(white, out=spaces[1:])
-    with np.errstate(over="ignore"):
-        np.cumsum(mix(p + np.uint64(77)) * _power_table(BASE, n + 1)[:n], out=sums[1:])
-        inverse = _power_table(BASE_INV, n + 1)
-        step = np.diff(np.concatenate([[0], (~white).astype(np.int8), [0]]))
+#: Characters whose features are made together.
+PLACES = 1 << 19
+_POWERS, _INVERSES = (powers(b, PLACES + max(GRAMS) + 1) for b in (BASE, BASE_INV))
+
+
+def features(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, text index) of each word and of each character n-gram within a word and the spaces around it, by windows
+    of PLACES characters; a word that goes on past its window is hashed by a carried sum."""
+    points = [np.frombuffer((b" " + t + b" ").decode().encode("utf-32-le"), "<u4") for t in texts]
+    begins = np.cumsum([0, *map(len, points)])
+    p = points[0] if len(points) == 1 else np.concatenate([np.zeros(0, "<u4"), *points])
+    del points
+    n, beyond = len(p), max(GRAMS) - 1
+    total, open_at = np.zeros(1, np.uint64), None  # sum before the window; (sum, inverse, text) at the begin of an open word
+    for lo in range(0, n, PLACES):
+        size = min(n - lo, PLACES)
+        q = p[lo : lo + size + beyond]
+        white = (q == 32) | ((q >= 9) & (q <= 13))
+        q = np.where(white, 32, q).astype(np.uint64)
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.clip(begins, lo, lo + size)))
+        sums, spaces = np.zeros(len(q) + 1, np.uint64), np.zeros(len(q) + 1, np.int64)
+        np.cumsum(white, out=spaces[1:])
+        step = np.diff(np.concatenate([[open_at is not None], ~white[:size]]).astype(np.int8))
         starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        found = [mix((sums[ends] - sums[starts]) * inverse[starts] + np.uint64(1))]
-        owners = [owner[starts]]
-        for k in GRAMS:
-            if n < k:
-                continue
-            at = np.flatnonzero(spaces[k - 1 : n] - spaces[1 : n - k + 2] == 0)  # no white space but at the ends
-            found.append(mix((sums[at + k] - sums[at]) * inverse[at] + np.uint64(k)))
-            owners.append(owner[at])
-    bucket = (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    return bucket, np.concatenate(owners)
+        with np.errstate(over="ignore"):
+            np.cumsum(mix(q + np.uint64(77)) * _POWERS[: len(q)] * np.uint64(pow(BASE, lo, 1 << 64)), out=sums[1:])
+            sums += total
+            inverse = _INVERSES[: len(q) + 1] * np.uint64(pow(BASE_INV, lo, 1 << 64))
+            at, by, of = sums[starts], inverse[starts], owner[starts]
+            if open_at is not None:
+                at, by, of = (np.append(x, y) for x, y in zip(open_at, (at, by, of), strict=True))
+            open_at = (at[-1:], by[-1:], of[-1:]) if len(at) > len(ends) else None
+            whole = slice(0, len(ends))
+            found, owners = [mix((sums[ends] - at[whole]) * by[whole] + np.uint64(1))], [of[whole]]
+            for k in GRAMS:
+                last = min(size, len(q) - k + 1)
+                if last > 0:
+                    begin = np.flatnonzero(spaces[k - 1 : k - 1 + last] - spaces[1 : 1 + last] == 0)  # no white space but at the ends
+                    found.append(mix((sums[begin + k] - sums[begin]) * inverse[begin] + np.uint64(k)))
+                    owners.append(owner[begin])
+        total = sums[size : size + 1].copy()
+        yield (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(owners)
 
 
 def _for_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +77,9 @@ def _for_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = byte_texts(batch.column(1))
         for i, t in enumerate(texts):
-            values, counts = np.unique(features([t])[0], return_counts=True)
+            every = sum((np.bincount(bucket, minlength=BUCKETS) for bucket, _ in features([t])), np.zeros(BUCKETS, np.int64))
+            values = np.flatnonzero(every)
+            counts = every[values]
             share = (counts / max(1, counts.sum())).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([values.astype(np.int32).tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary()), batch.column(2).slice(i, 1)], ["label", "buckets", "share", "times"])
 
@@ -109,9 +119,11 @@ def _apply(parts: np.ndarray, bias: float):
         for batch in batches:
             texts = byte_texts(batch.column(2))
             for lo, hi in in_chunks(texts):
-                bucket, owner = features(texts[lo:hi])
-                n = np.bincount(owner, minlength=hi - lo)
-                z = np.bincount(owner, parts[bucket], hi - lo) / np.maximum(n, 1) + bias
+                n, z = np.zeros(hi - lo), np.zeros(hi - lo)
+                for bucket, owner in features(texts[lo:hi]):
+                    n += np.bincount(owner, minlength=hi - lo)
+                    z += np.bincount(owner, parts[bucket], hi - lo)
+                z = z / np.maximum(n, 1) + bias
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "held_out", "score"])
 
     return run
