@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from pathlib import Path
 
@@ -11,7 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
 _run = uuid.uuid4().hex
-_made: list[str] = []
+
+
+class _Made(threading.local):
+    """Tables kept by this thread, so that operators that run in several threads drop their own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +55,7 @@ def keep(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
-    _made.append(path)
+    _made.paths.append(path)
     return out
 
 
@@ -69,16 +79,16 @@ def drop_kept(*frames: DataFrame) -> None:
 
 
 def kept_so_far() -> int:
-    return len(_made)
+    return len(_made.paths)
 
 
 def drop_kept_since(spark: SparkSession, mark: int, *but: DataFrame) -> None:
     """Delete the tables that ``keep`` wrote since ``mark = kept_so_far()``, but for those that are still read."""
     read = {df._kept_at for df in but}
-    for path in _made[mark:]:
+    for path in _made.paths[mark:]:
         if path not in read:
             _delete(spark, path)
-    _made[mark:] = [p for p in _made[mark:] if p in read]
+    _made.paths[mark:] = [p for p in _made.paths[mark:] if p in read]
 
 
 def drop_all_kept(spark: SparkSession) -> None:
