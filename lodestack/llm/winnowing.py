@@ -26,6 +26,9 @@ SPAN = GRAM + WINDOW - 1
 #: Rows of test fingerprints up to which the test side is broadcast (about 150 bytes a row); beyond, both sides shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Bits of the bit array for each hash of the test side, and the most (half a megabyte): beyond, more rows meet the join.
+BITS_EACH, MOST_BITS = 16, 1 << 22
+
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -43,10 +46,30 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def fingerprints(words: Column) -> Column:
-    """array<struct<p, h, around>>: each k-gram that is the smallest of a window, with the hashes from p - 5 to p + 5."""
+def bit_array(hashes: DataFrame) -> Column:
+    """The bits of a column ``h`` as an array<long> literal; a power of two of them, BITS_EACH a distinct hash."""
+    n = hashes.agg(F.count_distinct("h")).first()[0]
+    size = min(MOST_BITS, 64 << max(0, (n * BITS_EACH // 64 - 1).bit_length()))
+    slot = F.pmod(F.col("h"), F.lit(size))
+    longs = [0] * (size // 64)
+    # at most MOST_BITS / 64 rows
+    for r in hashes.select(F.floor(slot / 64).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+        longs[r["at"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<long>")
+
+
+def maybe(bits: Column, h: Column) -> Column:
+    """Whether a hash may be among those of a bit array; true of all that are."""
+    slot = F.pmod(h, F.size(bits).cast("long") * 64)
+    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
+
+
+def fingerprints(words: Column, among: Column | None = None) -> Column:
+    """array<struct<p, h, around>>: each k-gram that is the smallest of a window, with the hashes from p - 5 to p + 5;
+    only those that may be in the bit array ``among``."""
 
     def chosen(h: Column) -> Column:
+        listed = (lambda x: F.lit(True)) if among is None else (lambda x: maybe(among, x))
         smallest = F.slice(F.transform(h, lambda x, i: F.least(x, *(F.get(h, i + j) for j in range(1, WINDOW)))), F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
         return let(
             smallest,
@@ -55,7 +78,7 @@ def fingerprints(words: Column) -> Column:
                     h,
                     # h[p] is the smallest of some window that holds it if it equals the largest of those windows' smallest
                     lambda x, p: F.when(
-                        x == F.greatest(*(F.get(m, p - j) for j in range(WINDOW))),
+                        listed(x) & (x == F.greatest(*(F.get(m, p - j) for j in range(WINDOW)))),
                         F.struct(p.alias("p"), x.alias("h"), F.array(*(F.get(h, p + j) for j in range(1 - WINDOW, WINDOW))).alias("around")),
                     ),
                 ),
@@ -79,7 +102,7 @@ def shared_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
 
     train = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col("text")).alias("key"), item_words(F.col("text")).alias("w"))
     found = (
-        train.select("doc_id", "key", F.explode(fingerprints(F.col("w"))).alias("f"))
+        train.select("doc_id", "key", F.explode(fingerprints(F.col("w"), bit_array(prints))).alias("f"))
         .select("doc_id", "key", F.col("f.p").alias("p"), F.col("f.h").alias("h"), F.col("f.around").alias("around"))
         .join(small(prints.select("h", "item_around").distinct()), "h")
     )
@@ -93,8 +116,11 @@ def shared_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", it
         keys = F.array(*(F.when(F.size("w") == n, F.get(grams(F.col("w"), n), F.lit(0))) for n in lengths))
         listed = short.select("item_id", F.size("w").alias("n"), F.array_max(keys).alias("h"))
 
+        bits = bit_array(listed)
+
         def placed(n: int) -> Column:
-            return F.transform(grams(F.col("w"), n), lambda h, i: F.struct(F.lit(n).alias("n"), i.alias("at"), h.alias("h")))
+            every = F.transform(grams(F.col("w"), n), lambda h, i: F.when(maybe(bits, h), F.struct(F.lit(n).alias("n"), i.alias("at"), h.alias("h"))))
+            return F.filter(every, lambda s: s.isNotNull())
 
         every = F.flatten(F.array(*map(placed, lengths)))
         grams_of = train.select("doc_id", "key", F.explode(every).alias("g")).select("doc_id", "key", "g.n", "g.at", "g.h")

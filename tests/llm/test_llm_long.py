@@ -84,3 +84,18 @@ def test_operators_in_two_threads_drop_their_own_tables(spark):
 
     with ThreadPoolExecutor(2) as pool:
         assert list(pool.map(work, [0, 10, 20, 30])) == [3, 33, 63, 93]
+
+
+def test_bit_arrays_hold_all_of_their_hashes_and_few_others(spark, monkeypatch):
+    from lodestack.llm import winnowing
+
+    listed, others = (spark.range(lo, lo + 500).select(F.xxhash64("id").alias("h")) for lo in (0, 10_000))
+
+    def passed(df, bits):
+        return df.filter(winnowing.maybe(bits, F.col("h"))).count()
+
+    bits = winnowing.bit_array(listed)
+    assert passed(listed, bits) == 500 and passed(others, bits) < 80
+    assert passed(others, winnowing.bit_array(listed.limit(0))) == 0
+    monkeypatch.setattr(winnowing, "MOST_BITS", 64)
+    assert passed(listed, winnowing.bit_array(listed)) == 500
