@@ -348,8 +348,7 @@ def hits_of(t, windows):
 
 
 @pytest.mark.parametrize("most", [200_000, 0])
-def test_winnowing_matches_brute_force(spark, docs, texts, most, monkeypatch):
-    monkeypatch.setattr(winnowing.shared_windows, "__defaults__", ("doc_id", "item_id", most))
+def test_winnowing_matches_brute_force(spark, docs, texts, most):
     some = [" ".join(words(texts[i])[5 : 5 + n]) for i, n in ((3, 12), (8, 25), (11, 10), (15, 3), (20, 1))]
     items = spark.createDataFrame([*enumerate(some), (77, "A a A a a a a a a a a a a"), (78, None)], "item_id long, text string")
     windows = defaultdict(set)
@@ -360,7 +359,7 @@ def test_winnowing_matches_brute_force(spark, docs, texts, most, monkeypatch):
             windows[tuple(w[k : k + n])].add(i)
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000, "b " + "a " * 40 + "c"), (10_001, None)], "doc_id long, text string"))
     every = {**texts, 10_000: "b " + "a " * 40 + "c", 10_001: None}
-    for r in winnowing.contamination(both, items).collect():
+    for r in winnowing.contamination(both, items, broadcast_rows=most).collect():
         n, hit, found = hits_of(every[r.doc_id], windows)
         assert (r.n_words, r.n_hit, r.items, r.contaminated) == (n, hit, sorted(map(str, found)), hit > 0)
 

@@ -99,3 +99,17 @@ def test_bit_arrays_hold_all_of_their_hashes_and_few_others(spark, monkeypatch):
     assert passed(others, winnowing.bit_array(listed.limit(0))) == 0
     monkeypatch.setattr(winnowing, "MOST_BITS", 64)
     assert passed(listed, winnowing.bit_array(listed)) == 500
+
+
+def test_a_passage_of_many_items(spark):
+    """Four hundred items share a passage that one document holds thrice: all are told, and the words count once."""
+    from lodestack.llm import winnowing
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    items = spark.createDataFrame([(f"i{k}", f"own{k} {passage}") for k in range(400)] + [("short", "p0 p1 p2")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"{passage} x {passage} y {passage}"), (2, "p0 p1"), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in winnowing.contamination(docs, items).collect()}
+    assert (rows[1].n_words, rows[1].n_hit, rows[1].n_items) == (182, 180, 401)
+    assert sorted(rows[1]["items"]) == sorted([f"i{k}" for k in range(400)] + ["short"])
+    assert [(rows[k].n_hit, rows[k].n_items, rows[k].contaminated) for k in (2, 3)] == [(0, 0, False)] * 2
+    assert [r.doc_id for r in winnowing.contaminated(docs, items).collect()] == [1]
