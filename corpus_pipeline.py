@@ -34,8 +34,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold a window of a benchmark item go; rows are told apart by id and text, so one without an id, or
     one of several texts of an id, goes by its own text."""
     ship(spark)
-    hits = winnowing.shared_windows(docs, queries.table(spark, sf_dir, "benchmark"))
-    gone = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    hits = winnowing.contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+    gone = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     same = (winnowing.text_key(F.col("text")) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
