@@ -32,14 +32,14 @@ def recounted(hits: DataFrame, scopes: DataFrame) -> DataFrame:
 def with_graph(hits: DataFrame, graph: DataFrame) -> DataFrame:
     """hits(scope, scope_ord, source, score, ord) with graph(source, score, ord) hits in the first scope, which is then
     ordered by score; without graph hits every scope keeps its order; without scopes the graph's own scope is made.
-    ``rank`` is the place within the scope; missing scores are last."""
+    ``rank`` is the place within the scope, numbered by ranges, as one scope may hold most hits; missing scores are last."""
     first = hits.orderBy("scope_ord").limit(1).select("scope", "scope_ord").collect()
     scope, scope_ord = (first[0]["scope"], first[0]["scope_ord"]) if first else (GRAPH_SCOPE, 0)
     some = not graph.isEmpty()
     late = graph.select(F.lit(scope).alias("scope"), F.lit(scope_ord).alias("scope_ord"), "source", "score", "ord", F.lit(1).alias("late"))
     every = hits.select("scope", "scope_ord", "source", "score", "ord", F.lit(0).alias("late")).unionByName(late)
     by_score = F.when((F.col("scope") == scope) & F.lit(some), F.coalesce("score", F.lit(float("-inf")))).otherwise(F.lit(0.0))
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy(by_score.desc(), "late", "ord"))).drop("late")
+    return merge.numbered(every, [by_score.desc(), F.col("late"), F.col("ord")], "scope").drop("late")
 
 
 def stable_prefix(scope: Column, shared: Column, role: Column, url: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import hooks
@@ -35,14 +34,14 @@ def hits_recounted(spark, d):
 
 @query(
     f"""WITH {SCORES}, v AS (SELECT scope, vec_id, score, row_number() OVER (PARTITION BY scope ORDER BY vec_id) AS ord FROM scores WHERE score >= 0.1),
-top AS (SELECT min(scope) AS scope FROM v), g AS (SELECT (SELECT scope FROM top) AS scope, 1000000 + o_orderkey AS vec_id, o_orderkey % 10 / 10.0::DOUBLE AS score, o_orderkey AS ord FROM orders WHERE o_orderkey < 40),
+top AS (SELECT min(scope) AS scope FROM v), g AS (SELECT (SELECT scope FROM top) AS scope, 1000000 + o_orderkey AS vec_id, o_orderkey % 10 / 10.0::DOUBLE AS score, o_orderkey AS ord FROM orders),
 u AS (SELECT *, 0 AS late FROM v UNION ALL SELECT *, 1 FROM g)
 SELECT scope, vec_id, score, row_number() OVER (PARTITION BY scope ORDER BY CASE WHEN scope = (SELECT scope FROM top) THEN score ELSE 0 END DESC, late, ord)::INT AS rank FROM u"""
 )
 def layer_merge(spark, d):
     v = search.scored(T.table(spark, d, "embeddings"), 0).filter("score >= 0.1")
-    v = v.select(F.col("scope"), F.col("scope").alias("scope_ord"), F.col("vec_id").alias("source"), "score", F.row_number().over(Window.partitionBy("scope").orderBy("vec_id")).alias("ord"))
-    g = T.table(spark, d, "orders").filter("o_orderkey < 40").select((F.col("o_orderkey") + 1_000_000).alias("source"), (F.pmod("o_orderkey", F.lit(10)) / 10).alias("score"), F.col("o_orderkey").alias("ord"))
+    v = v.select(F.col("scope"), F.col("scope").alias("scope_ord"), F.col("vec_id").alias("source"), "score", F.col("vec_id").alias("ord"))
+    g = T.table(spark, d, "orders").select((F.col("o_orderkey") + 1_000_000).alias("source"), (F.pmod("o_orderkey", F.lit(10)) / 10).alias("score"), F.col("o_orderkey").alias("ord"))
     return recall.with_graph(v, g).select("scope", F.col("source").alias("vec_id"), "score", "rank")
 
 
@@ -127,10 +126,9 @@ def graph_node_hits(spark, d):
     return graph.node_hits(n)
 
 
-@query(f"WITH {LINKS}, {NODES} SELECT source, target, coalesce(a.label, source) || ' --' || relation || '--> ' || coalesce(b.label, target) AS content, CASE WHEN origin = 'supplier' THEN 0.8::DOUBLE END AS score FROM links LEFT JOIN nodes a ON a.id = source LEFT JOIN nodes b ON b.id = target WHERE origin IN ('supplier', 'nation')")
+@query(f"WITH {LINKS}, {NODES} SELECT source, target, coalesce(a.label, source) || ' --' || relation || '--> ' || coalesce(b.label, target) AS content, CASE WHEN origin = 'supplier' THEN 0.8::DOUBLE END AS score FROM links LEFT JOIN nodes a ON a.id = source LEFT JOIN nodes b ON b.id = target")
 def graph_link_hits(spark, d):
-    links = T.links(spark, d).filter(F.col("origin").isin("supplier", "nation"))
-    return graph.link_hits(links, T.nodes(spark, d), F.when(F.col("origin") == "supplier", F.lit(0.8)))
+    return graph.link_hits(T.links(spark, d), T.nodes(spark, d), F.when(F.col("origin") == "supplier", F.lit(0.8)))
 
 
 @query(f"WITH {NODES} SELECT id, label FROM nodes WHERE kind = 'region'")

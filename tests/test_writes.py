@@ -191,3 +191,14 @@ def test_links_are_resolved_as_a_browser_does(spark):
 
     rows = spark.createDataFrame([(base, h) for h in links], "b string, h string").select("h", net.resolved(F.col("b"), F.col("h")).alias("r")).collect()
     assert {r.h: r.r for r in rows} == links
+
+
+def test_graph_hits_in_a_scope_of_most_rows(spark):
+    """Ranks of one large first scope are numbered over several ranges, without gaps, and the other scope keeps its order."""
+    hits = spark.range(6000).selectExpr("if(id % 10 = 0, 'b', 'a') AS scope", "if(id % 10 = 0, 1, 0) AS scope_ord", "'v' || id AS source", "if(id % 7 = 0, null, (id % 50) / 50D) AS score", "id AS ord")
+    graph_hits = spark.range(2000).selectExpr("'g' || id AS source", "(id % 25) / 25D AS score", "id AS ord")
+    rows = recall.with_graph(hits, graph_hits).collect()
+    least = float("-inf")
+    first = sorted((r for r in rows if r.scope == "a"), key=lambda r: (-(least if r.score is None else r.score), r.source[0] == "g", r.ord))
+    assert [r["rank"] for r in first] == list(range(1, 7401))
+    assert [r["rank"] for r in sorted((r for r in rows if r.scope == "b"), key=lambda r: r.ord)] == list(range(1, 601))
