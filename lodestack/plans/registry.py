@@ -332,18 +332,22 @@ def crossref_usage_only(spark, d):
 
 def _envelope(spark, answer):
     n = answer.hits.count() if answer.hits is not None else 0
+    answer.release()
     row = (answer.ok, n, ",".join(answer.layers_queried), ",".join(answer.layers_skipped), answer.escalated, answer.degraded)
     return spark.createDataFrame([row], "ok boolean, n_hits long, layers_queried string, layers_skipped string, escalated boolean, degraded boolean")
 
 
-def _layer(spark, d, name, text, pair=None):
+def _layer(spark, d, name, text, pair=None, without=None):
+    """A layer over the texts that hold ``text``. without: and that do not hold this; a part of ``text`` leaves none, in any table."""
     docs = T.table(spark, d, "documents")
+    if without is not None:
+        docs = docs.filter(~F.contains("text", F.lit(without)))
     return cascade.Layer(name, lambda: docs.filter(F.contains("text", F.lit(text))).select(F.col("doc_id").alias("source"), F.lit(0).alias("chunk"), F.lit(name).alias("layer"), F.col("doc_id").alias("ord")), pair)
 
 
 @query("SELECT true AS ok, count(*) AS n_hits, 'graph,vector,file' AS layers_queried, '' AS layers_skipped, true AS escalated, false AS degraded FROM documents WHERE contains(text, 'thin')")
 def cascade_default(spark, d):
-    return _envelope(spark, cascade.recall("thin", [_layer(spark, d, "graph", "no such text"), _layer(spark, d, "vector", "nor this one"), _layer(spark, d, "file", "thin"), _layer(spark, d, "meta", "the")]))
+    return _envelope(spark, cascade.recall("thin", [_layer(spark, d, "graph", "thin", without="hin"), _layer(spark, d, "vector", "thin", without="thi"), _layer(spark, d, "file", "thin"), _layer(spark, d, "meta", "the")]))
 
 
 @query("SELECT true AS ok, count(*) AS n_hits, 'graph,vector,keyword' AS layers_queried, 'graph' AS layers_skipped, false AS escalated, true AS degraded FROM documents WHERE contains(text, 'thin') OR contains(text, 'thou')")

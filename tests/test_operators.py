@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import net
 from lodestack.functions import textops as X
 from lodestack.operators import admin, graph, ingest, lifecycle, linker, merge, search
-from lodestack.plans import cascade
+from lodestack.plans import cascade, registry
 from lodestack.streaming import jobs
 
 
@@ -148,6 +148,14 @@ def test_cascade(spark):
     assert cascade.recall(" ", []).error == "invalid_query" and cascade.recall("q", []).error == "no_layers_configured"
 
 
+def test_default_cascade_passes_its_empty_layers_in_any_table(spark, tmp_path):
+    """Texts with words that were once held to be in no table."""
+    rows = [(1, "no such text"), (2, "nor this one"), (3, "the thin one, nor this one"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.cascade_default(spark, str(tmp_path)).first()
+    assert got[:] == (True, 1, "graph,vector,file", "", True, False)
+
+
 def test_search(spark):
     files = spark.createDataFrame([("a/b/1.md", "a/b", "r", 1, "x.*y\r\nXy"), ("top.md", "", "r", 2, None)], "path string, area string, repo string, doc_id long, text string")
     assert [r.line_no for r in search.literal(files, ".*").collect()] == [1]
