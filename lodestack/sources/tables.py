@@ -36,12 +36,23 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("header", note_header(F.lit("top"), F.col("status"), F.col("branch"), F.col("commit_sha")))
 
 
+#: Rows that one task holds while it tells equal keys apart: its memory does not grow with the table.
+ROWS_A_TASK = 500_000
+
+
+def distinct(df: DataFrame) -> DataFrame:
+    """Distinct rows of a table's key columns, dealt over as many tasks as its rows are worth; their number is read from
+    the files' footers."""
+    return df.repartition(max(1, -(-df.count() // ROWS_A_TASK)), *df.columns).distinct()
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The star schema as a typed graph."""
+    """The star schema as a typed graph. Keys are told apart as numbers, before they become texts."""
     key = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
     def edges(name: str, src: tuple[str, str], relation: str, dst: tuple[str, str]) -> DataFrame:
-        return table(spark, sf_dir, name).select(key(*src).alias("source"), key(*dst).alias("target"), F.lit(relation).alias("relation"), F.lit(name).alias("origin")).distinct()
+        own = distinct(table(spark, sf_dir, name).select(src[1], dst[1]))
+        return own.select(key(*src).alias("source"), key(*dst).alias("target"), F.lit(relation).alias("relation"), F.lit(name).alias("origin"))
 
     parts = [
         edges("orders", ("customer", "o_custkey"), "placed", ("order", "o_orderkey")),

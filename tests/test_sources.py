@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import scopes
-from lodestack.sources import readers
+from lodestack.sources import readers, tables
 
 
 def test_text_tree(spark, tmp_path):
@@ -65,3 +65,14 @@ def test_personas(spark):
     assert scopes.parent_sections(df).first().display_name is None
     drafts = df.select("tier", "scope_id").withColumn("state", F.lit("draft")).withColumn("disposed_at", F.lit(None).cast("string"))
     assert {r.scope_id: r.state for r in scopes.disposed(drafts, "meta", "m", "approved", "2026").collect()} == {"m": "approved", "p": "draft"}
+
+
+def test_keys_of_links_are_told_apart_in_tasks_of_a_set_size(spark, monkeypatch):
+    """No more tasks' worth of rows in one task, whatever the session's partitions, and numbers, not texts, are compared."""
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    pairs = spark.range(3_000).selectExpr("id % 500 a", "if(id % 500 = 7, null, id % 3) b")
+    got = tables.distinct(pairs)
+    assert got.rdd.getNumPartitions() == 30 and got.count() == len({tuple(r) for r in pairs.collect()})
+    assert tables.distinct(pairs.limit(0)).count() == 0
+    plan = tables.links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [l_suppkey" in plan and "Aggregate [source" not in plan
