@@ -267,6 +267,21 @@ def test_reach_of_merges(spark):
     assert reach.reachable(spark.createDataFrame([], "source long, target long"), spark.createDataFrame([(1,)], "id long")).collect()[0].id == 1
 
 
+def test_reach_past_nodes_left_out(spark, monkeypatch):
+    """A line and merges with most nodes left out on the way: less is moved than by doubling the whole, and all is found."""
+    monkeypatch.setattr(reach, "FEW", 50)
+    n = 2_000
+    line = spark.range(n).select(F.col("id").cast("int").alias("source"), (F.col("id") + 1).alias("target"))
+    jumps = reach.Jumps(line)
+    assert jumps.tables[0].count() <= 50 and 5 < len(jumps.out) < 40
+    got = reach.reachable(line, spark.createDataFrame([(5,), (None,)], "id long"), jumps)
+    assert got.agg(F.count("id"), F.min("id"), F.max("id")).first()[:] == (n - 4, 5, n)
+    with pytest.raises(ValueError, match="cycle"):
+        reach.Jumps(line.selectExpr("source", f"(source + 1) % {n} as target")).table(12)
+    monkeypatch.setattr(reach, "FEW", 10)
+    test_reach_of_merges(spark)
+
+
 def test_cycles_are_told(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1)], "source long, target long")
     with pytest.raises(ValueError, match="cycle"):
