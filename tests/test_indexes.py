@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,22 @@ def test_scans_of_the_index_are_filtered(spark, texts):
     assert "EqualTo(doc_id,503)" in plan(text_index.search(spark, f"{base}/plain", ["needle"])).replace("In(doc_id, [503])", "EqualTo(doc_id,503)")
 
 
+def test_postings_are_runs_and_texts_are_not_shuffled_for_a_search(spark, texts, tmp_path, monkeypatch):
+    """Several runs of a task hold each posting once, none is sorted over all, and many candidates shuffle no text."""
+    files, base = texts
+    monkeypatch.setattr(text_index, "PUSHED", 3)
+    for most in (1_000_000, 5):
+        monkeypatch.setattr(text_index, "SENT", most)
+        found = text_index.search(spark, f"{base}/plain", ["abc"])
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == search.literal(files, "abc").count() > 3
+    monkeypatch.setattr(text_index, "RUN", 500)
+    batch = pa.RecordBatch.from_arrays([pa.array([9, 3, 5]), pa.array([b"abcd" * 900, bytes(range(255)) * 2, b"bcda"])], ["doc_id", "text"])
+    runs = [list(zip(*(c.to_pylist() for c in r.columns), strict=True)) for r in text_index._posted(iter([batch, batch.slice(0, 1)]))]
+    assert all(r == sorted(r) for r in runs) and runs[0][0] == (258, 3)
+    assert sum(len(r) for r in runs) == 4 + 255 + 2 + 4
+
+
 def test_blank_literals_are_refused(spark, texts):
     with pytest.raises(ValueError, match="invalid_query"):
         text_index.search(spark, f"{texts[1]}/plain", [" "])
