@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.textops import once
+from lodestack.sources.shared import cut
 
 #: The forms in which source texts define and use an identifier.
 QUOTED = r"(['\"`])([A-Za-z0-9_-]+)\1"
@@ -44,7 +45,8 @@ def _found(files: DataFrame, places: Column, kind: str) -> DataFrame:
 
 
 def definitions(files: DataFrame) -> DataFrame:
-    return _found(files, placed(F.col("text"), DEFINED, 2), "definition")
+    able = files.filter(F.contains("text", F.lit("name")) & F.contains("text", F.lit("document")))  # words of the pattern
+    return _found(able, placed(F.col("text"), DEFINED, 2), "definition")
 
 
 def usages(files: DataFrame) -> DataFrame:
@@ -86,8 +88,9 @@ def scanned(files: DataFrame, schemes: list[Scheme]) -> tuple[DataFrame, DataFra
 def by_identifier(items: DataFrame, query: str) -> DataFrame:
     """Items whose identifier is the query, case aside; only if there are none, those that contain it."""
     low = F.lit(query.lower())
-    exact = items.filter(F.lower("identifier") == low)
-    return items.filter(F.contains(F.lower("identifier"), low)) if exact.isEmpty() else exact
+    held = cut(items.filter(F.contains(F.lower("identifier"), low)), "items")  # the texts are searched once for both
+    exact = held.filter(F.lower("identifier") == low)
+    return held if exact.isEmpty() else exact
 
 
 def linked(defs: DataFrame, uses: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def orphans(defs: DataFrame, uses: DataFrame) -> DataFrame:
 
 def hits(defs: DataFrame, uses: DataFrame, query: str, scheme: str = "document-types", most: int | None = MOST_HITS) -> DataFrame:
     """(content, source, line) of one recall: definitions that match, then their usages; without a definition, usages
-    alone. At most ``most``, in the order of kind, identifier, repo, path, line."""
+    alone. The first ``most`` by kind, identifier, repo, path, line; None: all, in no order."""
     found = by_identifier(defs, query)
     at = F.concat("path", F.lit(":"), F.col("line").cast("string"))
     if found.isEmpty():
@@ -118,5 +121,6 @@ def hits(defs: DataFrame, uses: DataFrame, query: str, scheme: str = "document-t
         both = linked(found, uses).withColumn("content", F.when(F.col("cross_repo"), far).otherwise(near))
         place = F.concat("use_path", F.lit(":"), F.col("use_line").cast("string"))
         out = heads.unionByName(both.select(F.lit(1).alias("k"), "identifier", F.col("use_repo").alias("repo"), F.col("use_path").alias("path"), F.col("use_line").alias("line"), "content", place.alias("source")))
-    ordered = out.orderBy("k", "identifier", "repo", "path", "line", "content")
-    return (ordered if most is None else ordered.limit(most)).select("content", "source", "line")
+    if most is not None:
+        out = out.orderBy("k", "identifier", "repo", "path", "line", "content").limit(most)
+    return out.select("content", "source", "line")

@@ -102,6 +102,16 @@ def test_lines_of_matches(spark):
     assert [(r.identifier, r.line) for r in linker.definitions(files).collect()] == [("x", 7)]
 
 
+def test_hits_search_the_texts_once(spark):
+    """All hits of a name: read from what one search of the texts found, and not sorted."""
+    files = spark.createDataFrame([("r", f"p{i}", "_type == 'other'") for i in range(3)] + [("r", "d", "name: 'x', type: 'document'"), ("r", "n", None)], "repo string, path string, text string")
+    got = linker.hits(linker.definitions(files), linker.usages(files), "OTH", most=None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "rangepartitioning" not in plan
+    assert sorted(r.source for r in got.collect()) == ["p0:1", "p1:1", "p2:1"]
+    assert [r.source for r in linker.hits(linker.definitions(files), linker.usages(files), "OTH", most=2).collect()] == ["p0:1", "p1:1"]
+
+
 def test_other_schemes_join_in(spark):
     found = lambda kind: lambda files: files.select("repo", "path", F.lit(kind).alias("kind"), F.col("text").alias("identifier"), F.lit(1).alias("line"))
     files = spark.createDataFrame([("r", "p", "name: 'x', type: 'document'")], "repo string, path string, text string")
